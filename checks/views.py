@@ -205,12 +205,15 @@ def v_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_sections(spark: SparkSession, sf: str) -> DataFrame:
+    row = lambda name, address, size: F.struct(
+        name.alias("name"), F.lit(address).alias("address"), F.lit(size).alias("size")
+    )
     rows = F.array(
-        F.struct(F.lit(".text").alias("name"), F.lit(4096).alias("address"), F.lit(64 * 1200).alias("size")),
-        F.struct(F.lit(".rodata"), F.lit(4096 + 64 * 1200), F.lit(64 * 300)),
-        F.struct(F.lit(".flash.text"), F.lit(4096 + 64 * 1500), F.lit(64 * 100000)),
-        F.struct(F.lit(".iram0.text"), F.lit(64), F.lit(0)),
-        F.struct(F.when(F.col("s_suppkey") % 2 == 0, ".debug_line").otherwise(".bss"), F.lit(0), F.lit(10)),
+        row(F.lit(".text"), 4096, 64 * 1200),
+        row(F.lit(".rodata"), 4096 + 64 * 1200, 64 * 300),
+        row(F.lit(".flash.text"), 4096 + 64 * 1500, 64 * 100000),
+        row(F.lit(".iram0.text"), 64, 0),
+        row(F.when(F.col("s_suppkey") % 2 == 0, F.lit(".debug_line")).otherwise(F.lit(".bss")), 0, 10),
     )
     return table(spark, sf, "supplier").select(
         text_of("fw", F.col("s_suppkey")).alias("firmware_id"), F.inline(rows)

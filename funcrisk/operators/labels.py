@@ -223,10 +223,12 @@ def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     rest_r = number_rows(
         usable.join(tangled_keys, by, "left_semi"), by,
         F.shiftright("row_idx", NUMBER_BITS), [F.col("row_idx")], "_n",
-    ).join(room, "firmware_id").filter(F.col("_n") <= F.col("_room")).select("firmware_id", "key", "row_idx")
+    ).join(room, "firmware_id").filter(F.col("_n") <= F.col("_room")).select(
+        F.col("firmware_id").alias("image"), "key", "row_idx"
+    )
     walked = (
         rest_f.groupBy("firmware_id")
-        .cogroup(rest_r.groupBy("firmware_id"))
+        .cogroup(rest_r.groupBy("image"))
         .applyInPandas(
             _greedy_image, "firmware_id string, func_ordinal bigint, func_id string, row_idx bigint"
         )

@@ -84,12 +84,12 @@ def rule_table(train: DataFrame, features: Sequence[str] | None = None) -> DataF
     """
     features = list(features or feature_columns(train))
     label = F.col("label").cast("double")
-    # Both spreads are tested: a constant column has no correlation.
     moments = []
     for i, c in enumerate(features):
         x = F.col(f"`{c}`").cast("double")
         moments += [
-            F.when((F.min(x) < F.max(x)) & (F.min(label) < F.max(label)), F.abs(F.corr(x, label))).alias(f"r{i}"),
+            # Null for a constant column, which has no correlation.
+            F.abs(F.try_divide(F.covar_pop(x, label), F.stddev_pop(x) * F.stddev_pop(label))).alias(f"r{i}"),
             F.avg(F.when(label == 1, x)).alias(f"v{i}"),
             F.avg(F.when(label == 0, x)).alias(f"s{i}"),
             F.avg(x).alias(f"m{i}"),
