@@ -19,7 +19,7 @@ from funcrisk import constants as C
 from funcrisk.functions.answers import parse_cwe_answer
 from funcrisk.functions.text import empty_strings
 from funcrisk.operators.rules import broad_rules, labelable, rule_matches, signal_rules, with_haystack
-from funcrisk.scale import number_rows
+from funcrisk.scale import cut_lineage, number_rows
 
 # A sheet line may lie this far from a function's first line.
 LINE_SLACK = 2
@@ -197,12 +197,12 @@ def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     is a numbering on both sides. Only the entangled rest is walked in sequence, image by image;
     an image has at most max_functions functions, and under each key no more rows than functions.
     """
-    fkeys = function_keys(functions, label_rows).distinct().persist()
-    usable = usable_rows(functions, fkeys, row_keys(label_rows)).distinct().persist()
+    fkeys = cut_lineage(function_keys(functions, label_rows).distinct())
+    usable = cut_lineage(usable_rows(functions, fkeys, row_keys(label_rows)).distinct())
     live = fkeys.join(usable.select("firmware_id", "key").distinct(), ["firmware_id", "key"], "left_semi")
     tangled_f = live.groupBy("firmware_id", "func_ordinal").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     tangled_r = usable.groupBy("firmware_id", "row_idx").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    tangled_keys = (
+    tangled_keys = cut_lineage(
         live.join(tangled_f, ["firmware_id", "func_ordinal"], "left_semi").select("firmware_id", "key")
         .unionByName(usable.join(tangled_r, ["firmware_id", "row_idx"], "left_semi").select("firmware_id", "key"))
         .distinct()
@@ -217,6 +217,8 @@ def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
         F.shiftright("row_idx", NUMBER_BITS), [F.col("row_idx")], "_turn",
     )
     plain = turn.join(offer, [*by, "_turn"]).select("firmware_id", "func_ordinal", "func_id", "row_idx")
+    if tangled_keys.isEmpty():
+        return plain
 
     rest_f = live.join(tangled_keys, by, "left_semi")
     room = rest_f.groupBy("firmware_id").agg(F.count_distinct("func_ordinal").alias("_room"))
