@@ -11,15 +11,13 @@ from funcrisk.functions.text import LINE_BREAK_CLASS, SEP, empty_strings, split_
 # Call targets without their angle brackets; plain 0x addresses are no names.
 _CALL_TARGET = r"(?iU)\bcall\d*+\s++[<>]*+(?!(?-i:0x))([^\s,]*?)[<>]*+(?![^\s,])"
 _JAL_TARGET = r"(?iU)\bjal\s++[<>]*+([^\s,]*?)[<>]*+(?![^\s,])"
+# Where a line begins: consumed, so that all other places are passed over at once.
+_LINE_START = rf"(?:\A|[{LINE_BREAK_CLASS}])"
 # A whole line that holds a call word.
-_CALL_LINE = (
-    rf"(?iU)(?<![^{LINE_BREAK_CLASS}])[^{LINE_BREAK_CLASS}]*?\bcall\d*\b[^{LINE_BREAK_CLASS}]*"
-)
+_CALL_LINE = rf"(?iU){_LINE_START}[^{LINE_BREAK_CLASS}]*?\bcall\d*\b[^{LINE_BREAK_CLASS}]*"
 _SYMBOL = r"(?U)<([A-Za-z_][\w.]*)>"
 # A line that is neither blank nor a directive.
-_INSTRUCTION_LINE = (
-    rf"(?U)(?<![^{LINE_BREAK_CLASS}])[^\S{LINE_BREAK_CLASS}]*+[^\s.{LINE_BREAK_CLASS}]"
-)
+_INSTRUCTION_LINE = rf"{_LINE_START}(?U:[^\S{LINE_BREAK_CLASS}]*+[^\s.])"
 
 
 def calls_from_asm(asm: Column) -> Column:

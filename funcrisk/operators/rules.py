@@ -60,8 +60,14 @@ def rule_matches(
     """
     if fits_broadcast(rules, max_inline):
         inline = rules.agg(F.collect_list(F.struct("cwe_id", "tokens")).alias("r")).scalar()
-        hit = lambda rule: F.exists(rule["tokens"], lambda t: F.contains(F.col("haystack"), t))
-        ids = F.transform(F.filter(F.col("_rules"), hit), lambda rule: rule["cwe_id"])
+
+        # The text is bound to a variable first: written inside the test it would be put together
+        # again for every token.
+        def hits(text: Column) -> Column:
+            rules_hit = F.filter(F.col("_rules"), lambda r: F.exists(r["tokens"], lambda t: F.contains(text, t)))
+            return F.transform(rules_hit, lambda r: r["cwe_id"])
+
+        ids = F.element_at(F.transform(F.array("haystack"), hits), 1)
         return (
             functions.withColumn("_rules", inline)
             .withColumn(name, F.sort_array(F.array_distinct(ids)))
@@ -72,12 +78,9 @@ def rule_matches(
         "_piece", F.substring("token", 1, 3)
     )
     distinct_tokens = tokens.select("_piece", "token").distinct()
-    starts = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("haystack") - 2)),
-        lambda i: F.substring(F.col("haystack"), i, F.lit(3)),
-    )
+    pieces = F.regexp_extract_all("haystack", F.lit("(?s)(?=(...))"), F.lit(1))
     hits = (
-        functions.select(*keys, F.explode(F.array_distinct(starts)).alias("_piece"))
+        functions.select(*keys, F.explode(F.array_distinct(pieces)).alias("_piece"))
         .join(distinct_tokens, "_piece")
         .join(functions.select(*keys, "haystack"), keys)
         .filter(F.contains("haystack", F.col("token")))
