@@ -13,6 +13,7 @@ from funcrisk.functions.calls import all_calls, instruction_count
 from funcrisk.operators import matrix as X
 from funcrisk.operators.scoring import boost_and_flag, rule_score
 from funcrisk.plans.jobs import Tables
+from funcrisk.scale import spread
 from funcrisk.sources.catalog import default_catalog
 from funcrisk.sources.files import source_files
 
@@ -50,7 +51,7 @@ def asm_line(line, k):
 
 
 def keyed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.withColumns(
         {
             "firmware_id": F.col("source"),

@@ -6,24 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from funcrisk import constants as C
-from funcrisk.functions.text import LINE_BREAK_CLASS, SEP, empty_strings, split_lines, words_found
+from funcrisk.functions.text import SEP, empty_strings, line_starts, split_lines, words_found
 
 # Call targets without their angle brackets; plain 0x addresses are no names.
 _CALL_TARGET = r"(?iU)\bcall\d*+\s++[<>]*+(?!(?-i:0x))([^\s,]*?)[<>]*+(?![^\s,])"
 _JAL_TARGET = r"(?iU)\bjal\s++[<>]*+([^\s,]*?)[<>]*+(?![^\s,])"
-# Where a line begins: consumed, so that all other places are passed over at once.
-_LINE_START = rf"(?:\A|[{LINE_BREAK_CLASS}])"
-# A whole line that holds a call word.
-_CALL_LINE = rf"(?iU){_LINE_START}[^{LINE_BREAK_CLASS}]*?\bcall\d*\b[^{LINE_BREAK_CLASS}]*"
+# Over line_starts: a whole line that holds a call word.
+_CALL_LINE = r"(?iU)\n[^\n]*?(?=c)\bcall\d*\b[^\n]*"
 _SYMBOL = r"(?U)<([A-Za-z_][\w.]*)>"
-# A line that is neither blank nor a directive.
-_INSTRUCTION_LINE = rf"{_LINE_START}(?U:[^\S{LINE_BREAK_CLASS}]*+[^\s.])"
+# Over line_starts: a line that is neither blank nor a directive.
+_INSTRUCTION_LINE = r"\n(?U:[^\S\n]*+[^\s.])"
 
 
 def calls_from_asm(asm: Column) -> Column:
     """Names called in a disassembly: targets, bracketed symbols, plain mentions; sorted, first 64."""
     asm = F.coalesce(asm, F.lit(""))
-    call_lines = F.array_join(F.regexp_extract_all(asm, F.lit(_CALL_LINE), F.lit(0)), "\n")
+    call_lines = F.array_join(F.regexp_extract_all(line_starts(asm), F.lit(_CALL_LINE), F.lit(0)), "")
     found = F.concat(
         F.regexp_extract_all(asm, F.lit(_CALL_TARGET), F.lit(1)),
         F.regexp_extract_all(asm, F.lit(_JAL_TARGET), F.lit(1)),
@@ -63,7 +61,7 @@ def asm_danger_label(asm: Column) -> Column:
 def instruction_count(asm: Column) -> Column:
     """Lines that are neither blank nor begin with a dot, at least 1."""
     text = F.coalesce(asm, F.lit(""))
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(_INSTRUCTION_LINE)))
+    return F.greatest(F.lit(1), F.regexp_count(line_starts(text), F.lit(_INSTRUCTION_LINE)))
 
 
 def cap_asm_text(asm: Column, max_lines: int = 260, marker: str = "... (%d more lines truncated)") -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 LINE_BREAK_CLASS = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029"
 LINE_BREAK = r"\r\n|[" + LINE_BREAK_CLASS + "]"
 
+# The same but for the usual one.
+RARE_BREAKS = ["\r", "\x0b", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
 # Joins list items into one text; no symbol name or string literal holds it.
 SEP = "\u0001"
 
@@ -30,6 +33,17 @@ def split_lines(text: Column) -> Column:
     return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def line_starts(text: Column) -> Column:
+    """The text with one newline before each line, so that a pattern can begin at a plain character.
+
+    Rare line breaks are rewritten only in the texts that hold one.
+    """
+    return F.concat(
+        F.lit("\n"),
+        F.when(any_word(text, RARE_BREAKS), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text),
+    )
+
+
 def empty_strings() -> Column:
     return F.array().cast(NO_STRINGS)
 

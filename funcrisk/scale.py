@@ -143,6 +143,12 @@ def sorted_index(df: DataFrame, order: Sequence[Column], name: str = "position")
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where its input has fewer parts than there are cores; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     """df itself, or an error when it is empty."""
     if df.isEmpty():
