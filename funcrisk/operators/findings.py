@@ -9,7 +9,7 @@ from funcrisk import constants as C
 from funcrisk.functions.calls import omit_asm_text
 from funcrisk.functions.risk import evidence, risk_tier, tier_order
 from funcrisk.functions.text import empty_strings
-from funcrisk.scale import join_per_key, top_per_key
+from funcrisk.scale import top_per_key
 
 MAX_ASM_CHARS = 32_000
 

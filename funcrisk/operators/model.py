@@ -140,7 +140,9 @@ def score_matrix(matrix: DataFrame, model: Model | None = None, constant: str =
     """(firmware_id, func_id, score) by the model given, or by the rule score."""
     rows = drop_label_columns(matrix)
     if model is None:
-        return rule_score(rows, constant).select(*C.KEY, "score")
+        # Only what the rule score reads, so that no other feature is worked out.
+        used = [c for c in C.RULE_WEIGHTS if c in rows.columns]
+        return rule_score(rows.select(*C.KEY, *used), constant).select(*C.KEY, "score")
     rows = align_features(rows, model.features)
     if model.kind == "rule":
         return predict_rule_model(rows, model).select(*C.KEY, "score")

@@ -60,19 +60,23 @@ class Training:
     images: DataFrame
 
 
-def extract_functions(tables: Tables, config: Config = Config()) -> DataFrame:
-    """Numbered functions with disassembly, calls and the extractor's fixed values.
+def numbered_functions(tables: Tables, config: Config = Config()) -> DataFrame:
+    """The functions of every image in address order: ids, names, addresses and sizes only."""
+    ranges = Y.code_ranges(tables.sections)
+    symbols = Y.symbols_in_code(Y.function_symbols(tables.symbols), ranges)
+    return Y.number_functions(Y.dedup_symbols(symbols), config.max_functions)
+
+
+def with_disassembly(functions: DataFrame, asm: DataFrame | None) -> DataFrame:
+    """Adds disassembly, calls, instructions and the extractor's fixed values.
 
     asm(firmware_id, address, disassembly) joins after the cut to max_functions per image, so
     only texts that are kept travel on.
     """
-    ranges = Y.code_ranges(tables.sections)
-    symbols = Y.symbols_in_code(Y.function_symbols(tables.symbols), ranges)
-    functions = Y.number_functions(Y.dedup_symbols(symbols), config.max_functions)
-    if tables.asm is None:
+    if asm is None:
         functions = functions.withColumn("disassembly", F.lit(""))
     else:
-        asm = tables.asm.select("firmware_id", F.col("address").alias("address_int"), "disassembly")
+        asm = asm.select("firmware_id", F.col("address").alias("address_int"), "disassembly")
         functions = functions.join(asm, ["firmware_id", "address_int"], "left").withColumn(
             "disassembly", F.coalesce("disassembly", F.lit(""))
         )
@@ -86,6 +90,20 @@ def extract_functions(tables: Tables, config: Config = Config()) -> DataFrame:
     )
 
 
+def extract_functions(tables: Tables, config: Config = Config()) -> DataFrame:
+    """Functions as the symbols and disassembly give them, without sources."""
+    return with_disassembly(numbered_functions(tables, config), tables.asm)
+
+
+def mapped_functions(tables: Tables, config: Config = Config()) -> DataFrame:
+    """Functions with disassembly and sources, written once.
+
+    The narrow function list feeds the lookups several times and is kept first; texts join last.
+    """
+    numbered = cut_lineage(numbered_functions(tables, config))
+    return cut_lineage(with_disassembly(map_sources(numbered, tables, config), tables.asm))
+
+
 def map_sources(functions: DataFrame, tables: Tables, config: Config = Config()) -> DataFrame:
     spans = S.source_span(functions, tables.line_table)
     resolved = S.resolve_source(spans, tables.roots, tables.source_files)
@@ -110,10 +128,10 @@ def label_functions(functions: DataFrame, tables: Tables, config: Config = Confi
 def run_static(tables: Tables, config: Config = Config(), model: M.Model | None = None) -> Scored:
     """Functions, matrix, labels and scores.
 
-    The function table feeds labels, features and findings alike, so it is written once to the
+    The function table feeds labels, features and findings alike, so it is read from the
     checkpoint folder rather than worked out again for each.
     """
-    functions = cut_lineage(map_sources(extract_functions(tables, config), tables, config))
+    functions = mapped_functions(tables, config)
     labels = cut_lineage(label_functions(functions, tables, config))
     matrix = X.matrix_from_functions(functions, labels)
     predictions = M.predict(matrix, labels, model, config.threshold, config.cwe_boost)
@@ -135,7 +153,7 @@ def analyze(
 
 def build_dataset(tables: Tables, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matrix, binary labels, label lists) of all images, without scoring."""
-    functions = cut_lineage(map_sources(extract_functions(tables, config), tables, config))
+    functions = mapped_functions(tables, config)
     cwe = cut_lineage(label_functions(functions, tables, config))
     return X.matrix_from_functions(functions, cwe), L.binary_labels(functions, cwe), cwe
 
