@@ -19,7 +19,7 @@ from funcrisk.operators import sourcemap as S
 from funcrisk.operators import split as H
 from funcrisk.operators import symbols as Y
 from funcrisk.plans import jobs as J
-from funcrisk.scale import shared_folder
+from funcrisk.scale import cut_lineage, shared_folder
 from funcrisk.sources import catalog, datasets, files, label_sheet
 
 
@@ -140,6 +140,11 @@ def _numbered(spark, sf):
     return Y.number_functions(Y.dedup_symbols(_in_code(spark, sf)))
 
 
+def _kept(spark, sf):
+    """The narrow function list, kept once as the jobs do before their lookups."""
+    return cut_lineage(_numbered(spark, sf))
+
+
 @query("W1", "SELECT firmware_id, func_id, func_ordinal, name, address, address_int, size FROM v_numbered")
 def number_functions(spark, sf):
     return plain(_numbered(spark, sf))
@@ -149,7 +154,7 @@ def number_functions(spark, sf):
 
 @query("J2", "SELECT firmware_id, func_id, address, file, line FROM v_asof")
 def asof_line(spark, sf):
-    return plain(S.asof_line(S.sample_addresses(_numbered(spark, sf)), V.v_line_table(spark, sf)).drop("sample"))
+    return plain(S.asof_line(S.sample_addresses(_kept(spark, sf)), V.v_line_table(spark, sf)).drop("sample"))
 
 
 @query("J2", """SELECT c.firmware_id, c.ordinal, c.address, CASE WHEN c.address - l.address <= 128 THEN l.file END AS file, CASE WHEN c.address - l.address <= 128 THEN l.line END AS line
@@ -162,12 +167,12 @@ def asof_line_max_gap(spark, sf):
 
 @query("A2", f"SELECT {ID}, source_file, line_start, line_end, has_source_mapping FROM v_span")
 def source_span(spark, sf):
-    spans = S.source_span(_numbered(spark, sf), V.v_line_table(spark, sf))
+    spans = S.source_span(_kept(spark, sf), V.v_line_table(spark, sf))
     return plain(spans.select(*C.KEY, "source_file", "line_start", "line_end", "has_source_mapping"))
 
 
 def _resolved(spark, sf):
-    spans = S.source_span(_numbered(spark, sf), V.v_line_table(spark, sf))
+    spans = S.source_span(_kept(spark, sf), V.v_line_table(spark, sf))
     return S.resolve_source(spans, V.v_roots(spark, sf), V.v_files(spark, sf))
 
 
