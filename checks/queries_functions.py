@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.registry import plain, query
-from checks.view_sql import NL, in_list, matched, strings
+from checks.view_sql import NL, matched, strings
 from funcrisk import constants as C
 from funcrisk.functions import calls as K
 from funcrisk.functions import features as X
 from funcrisk.functions.answers import parse_cwe_answer
-from funcrisk.functions.risk import boosted_score, evidence, risk_tier
+from funcrisk.functions.risk import evidence, risk_tier
 from funcrisk.functions.text import signal_tokens
 from funcrisk.operators import findings as R
 from funcrisk.operators import labels as L
@@ -20,7 +20,7 @@ from funcrisk.operators import model as T
 from funcrisk.operators import rules as U
 from funcrisk.operators import split as H
 from funcrisk.operators import symbols as Y
-from funcrisk.operators.scoring import boost_and_flag, rule_score
+from funcrisk.operators.scoring import rule_score
 from funcrisk.sources.catalog import default_catalog
 
 ID = "firmware_id, func_id"

@@ -10,13 +10,11 @@ from checks.queries_functions import ID, IDS, S_COLS, labels_of
 from checks.view_sql import NL, rule_total, strings
 from funcrisk import constants as C
 from funcrisk.config import Config
-from funcrisk.functions import features as X
 from funcrisk.operators import findings as R
 from funcrisk.operators import matrix as M
 from funcrisk.operators import model as T
 from funcrisk.operators import rules as U
 from funcrisk.operators import sourcemap as S
-from funcrisk.operators import split as H
 from funcrisk.operators import symbols as Y
 from funcrisk.plans import jobs as J
 from funcrisk.scale import cut_lineage, shared_folder
