@@ -50,17 +50,16 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(keys) % U64(parts)).astype(np.int64)
 
 
-def ordered(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ordered(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of distinct keys by (part, key), and the parts present with their first places."""
-    part = part_of(keys, parts)
     order = np.lexsort((keys, part))
     found, first = np.unique(part[order], return_index=True)
     return order, found, first
 
 
-def facts(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pd.DataFrame:
-    """Packed rows of one block's distinct keys and their values."""
-    order, found, first = ordered(keys, parts)
+def facts(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, part: np.ndarray) -> pd.DataFrame:
+    """Packed rows of one block's distinct keys and their values, a row for each part."""
+    order, found, first = ordered(keys, part)
     keys, vals, ends = keys[order], vals[order], np.r_[first[1:], len(keys)]
     return pd.DataFrame({
         "kind": np.full(len(found), kind, np.int8), "part": found, "block": block, "n": ends - first,
@@ -69,7 +68,7 @@ def facts(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, parts: int)
 
 def answers_of(keys: np.ndarray, rows: pd.DataFrame, dtype: type, parts: int) -> np.ndarray:
     """The answers to a block's distinct keys, in the keys' order; rows are all its answers of the kind."""
-    order, found, first = ordered(keys, parts)
+    order, found, first = ordered(keys, part_of(keys, parts))
     by = dict(zip(rows["part"], rows["vals"]))
     out = np.empty(len(keys), dtype)
     if len(keys):
@@ -81,7 +80,7 @@ def block_column(blocks: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block")
 
 
-def dealt(docs: DataFrame, blocks: int, ascii_lowered: bool = False) -> DataFrame:
+def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     """block, doc_id and text as bytes, dealt by block: one exchange, which every later grouping by block uses."""
     raw = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return raw.withColumn("block", block_column(blocks)).repartition(blocks, "block")

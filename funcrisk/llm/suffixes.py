@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funcrisk.llm import blocks as B
-from funcrisk.llm.common import parts_for, texts
+from funcrisk.llm.common import keep, parts_for, texts
 
 LENGTH, BLOCK_BYTES, SLICE = 50, 4 << 20, 1 << 20
+#: Stands for a null id, which sorts after all others.
+LAST = (1 << 63) - 1
 U64 = np.uint64
 
 
@@ -173,11 +175,11 @@ def whole_copies(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs with a doc_id: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `length` bytes over it also starts in a document with a smaller doc_id; strings are
     judged on the input and stay inside a document. Null text is empty. Rows of one doc_id, repeated or not, are one
-    document's parts: they do not repeat each other. Rows without a doc_id are left out, as they have no order. Other columns are left out.
+    document's parts: they do not repeat each other. Null ids come last of all. Other columns are left out.
 
     Prefix doubling: positions are named by their first 8 bytes, then by pairs of names at offsets 8, 16 and so on, which
     needs no exchange as names are 64-bit fingerprints. Spark compares names twice. At half the length, where each window is
@@ -185,12 +187,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     left are compared by (name, doc_id). Each block sends each name once with its smallest doc_id, so a passage in all documents
     costs one fact a block. Whole copies of a text with a smaller doc_id are settled beforehand and take no part.
     """
-    docs = texts(docs).filter(F.col("doc_id").isNotNull())
+    docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     blocks = parts_for(docs, block_bytes)
     parts = blocks
     text = B.dealt(docs, blocks)
     nothing = F.lit(None)
-    copies = whole_copies(docs, blocks).select(
+    copies = keep(whole_copies(docs, blocks), "copies").select(
         F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("part"), "block", F.lit(0).cast("long").alias("n"), nothing.cast("binary").alias("vals"),
         nothing.cast("double").alias("total"), nothing.cast("long").alias("seen"))
 
@@ -203,7 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     def ask_keys(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         key, twice = anchor_keys(own(texts_, side), length)
-        return B.facts(1, int(group[0]), key, twice.astype(np.uint8), parts)
+        return B.facts(1, int(group[0]), key, twice.astype(np.uint8), B.part_of(key, parts))
 
     def answer_keys(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [B.unpack_keys(x) for x in rows["keys"]]
@@ -216,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     def ask_names(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         mine = own(texts_, side)
         name, owner = smallest_owners(mine, shared_keys(mine, side), length)
-        return B.facts(2, int(group[0]), name, owner, parts)
+        return B.facts(2, int(group[0]), name, owner, B.part_of(name, parts))
 
     def answer_names(rows: pd.DataFrame) -> pd.DataFrame:
         keys, owner = np.concatenate([B.unpack_keys(x) for x in rows["keys"]]), np.concatenate([B.numbers(x, np.int64) for x in rows["vals"]])
@@ -252,5 +254,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     side = copies.unionByName(told.select(*copies.columns))
     asked2 = both(side).applyInPandas(ask_names, B.FACTS)
     told2 = asked2.groupBy("part").applyInPandas(answer_names, B.ANSWERS)
-    return both(side.unionByName(told2.select(*copies.columns))).applyInPandas(
+    done = both(side.unionByName(told2.select(*copies.columns))).applyInPandas(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
