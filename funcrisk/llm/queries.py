@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from funcrisk.llm import exact, mixing, packing, quality, simhash, sql, tokens, urls
+from funcrisk.llm import exact, mixing, packing, pii, quality, scoring, simhash, sql, suffixes, tokens, urls
 from funcrisk.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,6 +54,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-OPERATORS = (op1_token_counts, op2_exact_dedup, op6_quality_rules, op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters)
+OPERATORS = (
+    op1_token_counts, op2_exact_dedup, op3_suffix_dedup, op4_personal_data, op5_lm_scores, op6_quality_rules,
+    op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {"op2_exact_dedup": sql.OP2, "op6_quality_rules": sql.OP6, "op10_url_filters": sql.OP10}

@@ -206,7 +206,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; each round is written to the shared folder, and a node's new links go
     to its smallest neighbour only, so that hubs stay spread over their neighbours' rows.
     """
-    spark = edges.sparkSession
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "star")
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -222,7 +221,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    del spark
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
