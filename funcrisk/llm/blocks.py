@@ -50,25 +50,25 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(keys) % U64(parts)).astype(np.int64)
 
 
-def ordered(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of distinct keys by (part, key), and the parts present with their first places."""
-    order = np.lexsort((keys, part))
+def ordered(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted keys by (part, key), and the parts present with their first places."""
+    order = np.argsort(part, kind="stable")
     found, first = np.unique(part[order], return_index=True)
     return order, found, first
 
 
 def facts(kind: int, block: int, keys: np.ndarray, vals: np.ndarray, part: np.ndarray) -> pd.DataFrame:
-    """Packed rows of one block's distinct keys and their values, a row for each part."""
-    order, found, first = ordered(keys, part)
+    """Packed rows of one block's distinct sorted keys and their values, a row for each part."""
+    order, found, first = ordered(part)
     keys, vals, ends = keys[order], vals[order], np.r_[first[1:], len(keys)]
     return pd.DataFrame({
         "kind": np.full(len(found), kind, np.int8), "part": found, "block": block, "n": ends - first,
         "keys": [pack_keys(keys[a:b]) for a, b in zip(first, ends)], "vals": [planes(vals[a:b]) for a, b in zip(first, ends)]})
 
 
-def answers_of(keys: np.ndarray, rows: pd.DataFrame, dtype: type, parts: int) -> np.ndarray:
-    """The answers to a block's distinct keys, in the keys' order; rows are all its answers of the kind."""
-    order, found, first = ordered(keys, part_of(keys, parts))
+def answers_of(keys: np.ndarray, rows: pd.DataFrame, dtype: type, part: np.ndarray) -> np.ndarray:
+    """The answers to a block's distinct sorted keys, in their order; rows are all its answers of the kind."""
+    order, found, first = ordered(part)
     by = dict(zip(rows["part"], rows["vals"]))
     out = np.empty(len(keys), dtype)
     if len(keys):

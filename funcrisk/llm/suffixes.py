@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from funcrisk.llm import blocks as B
 from funcrisk.llm.common import keep, parts_for, texts
 
-LENGTH, BLOCK_BYTES, SLICE = 50, 4 << 20, 1 << 20
+LENGTH, BLOCK_BYTES, SLICE = 50, 4 << 20, 1 << 17
 #: Stands for a null id, which sorts after all others.
 LAST = (1 << 63) - 1
 U64 = np.uint64
@@ -24,25 +24,22 @@ def doubled(name: np.ndarray, step: int, salt: int) -> np.ndarray:
     return B.mixed(name[:-step] * U64(2 * salt + 1) + B.mixed(name[step:] ^ U64(salt)))
 
 
-def names(raw: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(l, names of the l bytes from each position) for l = 8, 16, 32 ... and last for `length`.
+def names(raw: np.ndarray, length: int) -> np.ndarray:
+    """Names of the `length` bytes from each position; `length` is 8 times a power of two.
 
     Equal bytes have equal names at every position, in every block; different ones differ but for 64-bit collisions.
     """
-    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded = np.zeros((len(raw) // 8 + 2) * 8, np.uint8)
     padded[:len(raw)] = raw
-    name = np.zeros(len(raw), U64)
+    name = np.empty(len(padded) - 8, U64)
     for i in range(8):
-        name = name << U64(8) | padded[i:i + len(raw)]
-    name, at = B.mixed(name + U64(1)), 8
-    yield at, name
+        name[i::8] = padded[i:i + len(name)].view(U64)
+    name, at = B.mixed(name[:len(raw)] + U64(1)), 8
     while at < length:
-        step = min(at, length - at)
-        if len(name) <= step:
-            yield length, name[:0]
-            return
-        name, at = doubled(name, step, at + step), at + step
-        yield at, name
+        if len(name) <= at:
+            return name[:0]
+        name, at = doubled(name, at, 2 * at), 2 * at
+    return name
 
 
 def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,111 +51,91 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-class Slice:
-    """Some texts of a block, end to end: for each position the key that stands for its window, and its name."""
-
-    def __init__(self, data: list[bytes], length: int):
-        self.raw = np.frombuffer(b"".join(data), np.uint8)
-        self.sizes = np.fromiter(map(len, data), np.int64, len(data))
-        self.ends = np.cumsum(self.sizes)
-        self.windows = max(0, len(self.raw) - length + 1)
-        half = length // 2
-        anchor = last = np.zeros(0, U64)
-        for at, name in names(self.raw, half):
-            anchor = name
-        # Of a window's prefixes of half the length, the smallest name stands for it: equal windows choose alike.
-        self.key = window_minimum(anchor, length - half + 1)[:self.windows]
-        self.length = length
-
-    def inside(self) -> np.ndarray:
-        """Whether the window at each position stays in its text."""
-        ok = np.zeros(self.windows, bool)
-        for end, n in zip(self.ends, self.sizes):
-            if n >= self.length:
-                ok[end - n:end - self.length + 1] = True
-        return ok
-
-    def runs(self, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First positions of runs with one key, broken where windows leave their text; and the runs' lengths."""
-        first = np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (ok[1:] != ok[:-1])]) if self.windows else np.zeros(0, np.int64)
-        return first, np.diff(np.r_[first, self.windows])
-
-    def full_names(self) -> np.ndarray:
-        out = np.zeros(0, U64)
-        for _, out in names(self.raw, self.length):
-            pass
-        return out[:self.windows]
-
-
-def in_slices(docs: pd.DataFrame, length: int) -> Iterator[tuple[pd.DataFrame, Slice]]:
-    for a, b in B.slices(docs["text"].str.len().to_numpy(), SLICE):
-        part = docs.iloc[a:b]
-        yield part, Slice(list(part["text"]), length)
-
-
-def anchor_keys(docs: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct window keys of a block, sorted, and whether two different documents of the block have them."""
-    keys, owners = [], []
-    for part, s in in_slices(docs, length):
-        ok = s.inside()
-        first, _ = s.runs(ok)
-        first = first[ok[first]] if len(first) else first
-        keys.append(s.key[first])
-        owners.append(part["doc_id"].to_numpy()[np.searchsorted(s.ends, first, "right")])
-    if not keys:
-        return np.zeros(0, U64), np.zeros(0, bool)
-    key, owner = np.concatenate(keys), np.concatenate(owners)
-    distinct, at = np.unique(key, return_inverse=True)
-    low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, at, owner)
-    np.maximum.at(high, at, owner)
-    return distinct, low != high
-
-
-def candidates(docs: pd.DataFrame, shared: np.ndarray, length: int) -> Iterator[tuple[pd.DataFrame, Slice, np.ndarray, np.ndarray]]:
-    """(texts, slice, positions, names) of windows whose key is among the sorted shared ones."""
-    for part, s in in_slices(docs, length):
-        ok = s.inside()
-        first, run = s.runs(ok)
-        hit = np.zeros(len(first), bool)
-        if len(shared) and len(first):
-            near = np.minimum(np.searchsorted(shared, s.key[first]), len(shared) - 1)
-            hit = (shared[near] == s.key[first]) & ok[first]
-        at = np.flatnonzero(np.repeat(hit, run))
-        yield part, s, at, s.full_names()[at] if len(at) else np.zeros(0, U64)
-
-
-def smallest_owners(docs: pd.DataFrame, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names of a block's candidate windows, sorted, and the smallest doc_id that has each."""
-    found, owners = [], []
-    for part, s, at, name in candidates(docs, shared, length):
-        owner = part["doc_id"].to_numpy()[np.searchsorted(s.ends, at, "right")]
-        order = np.lexsort((owner, name))
-        name, owner = name[order], owner[order]
-        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
-        found.append(name[first])
-        owners.append(owner[first])
-    if not found:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    name, owner = np.concatenate(found), np.concatenate(owners)
-    order = np.lexsort((owner, name))
-    name, owner = name[order], owner[order]
-    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
-    return name[first], owner[first]
-
-
-def covered(docs: pd.DataFrame, shared: np.ndarray, known: np.ndarray, first_owner: np.ndarray, length: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(doc_id, text, which bytes go) of every document."""
-    for part, s, at, name in candidates(docs, shared, length):
-        ids = part["doc_id"].to_numpy()
-        gone = np.zeros(len(s.raw) + 1, np.int32)
-        if len(at):
-            late = first_owner[np.searchsorted(known, name)] < ids[np.searchsorted(s.ends, at, "right")]
-            np.add.at(gone, at[late], 1)
-            np.add.at(gone, at[late] + length, -1)
-        gone = np.cumsum(gone[:-1]) > 0
-        for doc_id, text, end, n in zip(ids, part["text"], s.ends, s.sizes):
-            yield doc_id, text, gone[end - n:end]
+def shorter(key: np.ndarray, parts: int) -> np.ndarray:
+    """A key as its part and 32 bits: enough to drop most windows, less to send."""
+    return B.part_of(key, parts).astype(U64) << U64(32) | B.mixed(key ^ U64(1)) >> U64(32)
+
+
+def part_in(short: np.ndarray) -> np.ndarray:
+    return (short >> U64(32)).astype(np.int64)
+
+
+def grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their smallest and largest owners."""
+    if not len(key):
+        return key, owner, owner
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+
+
+class Windows:
+    """All windows of `length` bytes of a block's texts, as runs of neighbours that one prefix stands for.
+
+    Texts are taken in slices; of each the names of half a window, about, stay in memory.
+    """
+
+    def __init__(self, docs: pd.DataFrame, length: int, parts: int):
+        self.docs, self.length = docs, length
+        self.half = 8
+        while 2 * self.half <= length:
+            self.half *= 2
+        self.ids, self.data = docs["doc_id"].to_numpy(), list(docs["text"])
+        self.slices = []
+        short, owner = [], []
+        for a, b in B.slices(docs["text"].str.len().to_numpy(), SLICE):
+            raw = np.frombuffer(b"".join(self.data[a:b]), np.uint8)
+            sizes = np.fromiter(map(len, self.data[a:b]), np.int64, b - a)
+            ends = np.cumsum(sizes)
+            name = names(raw, self.half)
+            # Of a window's prefixes of that length the smallest name stands for it: equal windows choose alike.
+            low = window_minimum(name, length - self.half + 1)
+            inside = np.zeros(len(low), bool)
+            for end, n in zip(ends, sizes):
+                if n >= length:
+                    inside[end - n:end - length + 1] = True
+            first = np.flatnonzero(np.r_[len(low) > 0, (low[1:] != low[:-1]) | (inside[1:] != inside[:-1])])
+            run = np.diff(np.r_[first, len(low)])
+            first, run = first[inside[first]], run[inside[first]]
+            key = shorter(low[first], parts)
+            short.append(key)
+            owner.append(self.ids[a:b][np.searchsorted(ends, first, "right")])
+            self.slices.append((a, b, raw, sizes, ends, name, first, run, key))
+        self.short, low_id, high_id = grouped(np.concatenate([np.zeros(0, U64), *short]), np.concatenate([np.zeros(0, np.int64), *owner]))
+        self.twice = low_id != high_id
+
+    def candidates(self, shared: np.ndarray) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        """(slice, places, names at full length) of the windows whose short key is flagged."""
+        wanted = self.short[shared]
+        for part in self.slices:
+            name, first, run, key = part[5:]
+            at = np.zeros(0, np.int64)
+            if len(wanted) and len(first):
+                near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                hit = wanted[near] == key
+                first, run = first[hit], run[hit]
+                at = np.repeat(first - np.r_[0, np.cumsum(run)[:-1]], run) + np.arange(run.sum()) if len(first) else at
+            step = self.length - self.half
+            full = B.mixed(name[at] * U64(2 * self.length + 1) + B.mixed(name[at + step] ^ U64(self.length))) if step else name[at]
+            yield part, at, full
+
+    def owners(self, found: list[tuple[tuple, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct sorted names of candidate windows and the smallest doc_id of each."""
+        name = np.concatenate([np.zeros(0, U64), *[x[2] for x in found]])
+        owner = np.concatenate([np.zeros(0, np.int64), *[self.ids[x[0][0]:x[0][1]][np.searchsorted(x[0][4], x[1], "right")] for x in found]])
+        return grouped(name, owner)[:2]
+
+    def covered(self, found: list[tuple[tuple, np.ndarray, np.ndarray]], known: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """(doc_id, text, which bytes go) of every document."""
+        for (a, b, raw, sizes, ends, *_), at, name in found:
+            gone = np.zeros(len(raw), bool)
+            if len(at):
+                late = at[least[np.searchsorted(known, name)] < self.ids[a:b][np.searchsorted(ends, at, "right")]]
+                edge = np.bincount(late, minlength=len(raw) + 1) - np.bincount(late + self.length, minlength=len(raw) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+            for k, end, n in zip(range(a, b), ends, sizes):
+                yield self.ids[k], self.data[k], gone[end - n:end]
 
 
 def result(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
@@ -182,8 +159,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     document's parts: they do not repeat each other. Null ids come last of all. Other columns are left out.
 
     Prefix doubling: positions are named by their first 8 bytes, then by pairs of names at offsets 8, 16 and so on, which
-    needs no exchange as names are 64-bit fingerprints. Spark compares names twice. At half the length, where each window is
-    ranked by the smallest name in it, a window drops out if no other document has that name. At the full length the windows
+    needs no exchange as names are 64-bit fingerprints. Spark compares names twice. At the last doubling below the length, where each
+    window is ranked by the smallest name in it, a window drops out if no other document has that name. At the full length the windows
     left are compared by (name, doc_id). Each block sends each name once with its smallest doc_id, so a passage in all documents
     costs one fact a block. Whole copies of a text with a smaller doc_id are settled beforehand and take no part.
     """
@@ -199,13 +176,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     def own(texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         return texts_[~texts_["doc_id"].isin(set(side.loc[side["kind"] == 0, "part"]))].sort_values("doc_id")
 
-    def shared_keys(docs_: pd.DataFrame, side: pd.DataFrame) -> np.ndarray:
-        key, _ = anchor_keys(docs_, length)
-        return key[B.answers_of(key, side[side["kind"] == 1], np.uint8, parts) > 0]
+    def shared(w: Windows, side: pd.DataFrame) -> np.ndarray:
+        return B.answers_of(w.short, side[side["kind"] == 1], np.uint8, part_in(w.short)) > 0
 
     def ask_keys(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        key, twice = anchor_keys(own(texts_, side), length)
-        return B.facts(1, int(group[0]), key, twice.astype(np.uint8), B.part_of(key, parts))
+        w = Windows(own(texts_, side), length, parts)
+        return B.facts(1, int(group[0]), w.short, w.twice.astype(np.uint8), part_in(w.short))
 
     def answer_keys(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [B.unpack_keys(x) for x in rows["keys"]]
@@ -216,8 +192,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         return answer(rows, many[at].astype(np.uint8), 1)
 
     def ask_names(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        mine = own(texts_, side)
-        name, owner = smallest_owners(mine, shared_keys(mine, side), length)
+        w = Windows(own(texts_, side), length, parts)
+        name, owner = w.owners(list(w.candidates(shared(w, side))))
         return B.facts(2, int(group[0]), name, owner, B.part_of(name, parts))
 
     def answer_names(rows: pd.DataFrame) -> pd.DataFrame:
@@ -235,11 +211,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             "vals": [B.planes(vals[e - n:e]) for e, n in zip(ends, rows["n"])], "total": 0.0, "seen": 0})
 
     def finish(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        mine = own(texts_, side)
-        shared = shared_keys(mine, side)
-        name, _ = smallest_owners(mine, shared, length)
-        least = B.answers_of(name, side[side["kind"] == 2], np.int64, parts)
-        rows = [result(*x) for x in covered(mine, shared, name, least, length)]
+        w = Windows(own(texts_, side), length, parts)
+        found = list(w.candidates(shared(w, side)))
+        name, _ = w.owners(found)
+        least = B.answers_of(name, side[side["kind"] == 2], np.int64, B.part_of(name, parts))
+        rows = [result(*x) for x in w.covered(found, name, least)]
         copied = set(side.loc[side["kind"] == 0, "part"])
         for doc_id, raw in zip(texts_["doc_id"], texts_["text"]):
             if doc_id in copied:
