@@ -211,10 +211,10 @@ def signal_token_lists(spark, sf):
     return tokens.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", ",").cast("binary")).alias("tokens"))
 
 
-@query("F11", f"SELECT {ID}, length(haystack)::BIGINT AS n, md5(haystack) AS haystack_md5, md5(whole) AS whole_md5 FROM v_haystack")
+@query("F11", f"SELECT {ID}, length(cut)::BIGINT AS n, md5(cut) AS haystack_md5, md5(whole) AS whole_md5 FROM v_haystack")
 def haystack(spark, sf):
     functions = V.v_functions(spark, sf).drop("source_snippet")
-    both = U.with_haystack(functions).withColumnRenamed("haystack", "cut")
+    both = U.with_haystack(functions, 400).withColumnRenamed("haystack", "cut")
     both = U.with_haystack(both, None)
     return plain(both.select(*C.KEY, F.length("cut").alias("n"), F.md5(F.col("cut").cast("binary")).alias("haystack_md5"),
                              F.md5(F.col("haystack").cast("binary")).alias("whole_md5")))
@@ -225,16 +225,28 @@ def signal_hints(spark, sf):
     return plain(U.signal_hints(V.v_functions(spark, sf), default_catalog(spark)).select(*C.KEY, "hints"))
 
 
+@query("J6", f"SELECT {ID}, array_to_string(ids, ',') AS hints FROM ({matched('signal', 'cut')})")
+def signal_hints_limited(spark, sf):
+    """The limit as a feature: the first 400 characters of the disassembly."""
+    return plain(U.signal_hints(V.v_functions(spark, sf), default_catalog(spark), 400).select(*C.KEY, "hints"))
+
+
 @query("J6", f"SELECT {ID}, array_to_string(ids, ',') AS hints FROM ({matched('signal', 'whole')})")
 def signal_hints_whole_text(spark, sf):
     return plain(U.signal_hints(V.v_functions(spark, sf), default_catalog(spark), None).select(*C.KEY, "hints"))
 
 
+@query("J6", f"SELECT {ID}, array_to_string(ids, ',') AS hints FROM ({matched('signal', 'cut')})")
+def signal_hints_limited(spark, sf):
+    """The limit as a feature: the first 400 characters of the disassembly."""
+    return plain(U.signal_hints(V.v_functions(spark, sf), default_catalog(spark), 400).select(*C.KEY, "hints"))
+
+
 @query("J6", f"SELECT {ID}, array_to_string(ids, ',') AS hints FROM ({matched('signal', 'whole')})")
 def signal_hints_large_catalog(spark, sf):
     """The way taken when a catalog is too large to ride along."""
     rows = U.with_haystack(V.v_functions(spark, sf), None)
-    return plain(U.rule_matches(rows, U.signal_rules(default_catalog(spark)), "hints", max_inline=0).select(*C.KEY, "hints"))
+    return plain(U.rule_matches(rows, U.signal_rules(default_catalog(spark)), "hints", method="join").select(*C.KEY, "hints"))
 
 
 @query("J7", f"SELECT {ID}, array_to_string(ids, ',') AS matches FROM v_matches")
@@ -248,9 +260,9 @@ _BLOCK = f"""(SELECT 'Use ONLY the following CWE IDs when applicable (JSON array
 
 @query("F15", f"""SELECT {ID}, length(prompt)::BIGINT AS n, md5(prompt) AS prompt_md5 FROM (SELECT {ID}, 'Assign CWE IDs for this ESP32 function.' || {NL} || {NL} || {_BLOCK} ||
   CASE WHEN len(ids) > 0 THEN {NL} || 'Consider: ' || array_to_string(ids, ', ') || {NL} ELSE '' END || {NL} || 'Function: ' || name || {NL} || 'Calls: ' ||
-  CASE WHEN len(calls) > 0 THEN array_to_string(calls, ', ') ELSE '(none)' END || {NL} || 'Strings: ' || CASE WHEN len(strings) > 0 THEN array_to_string(strings[1:20], ', ') ELSE '(none)' END ||
+  CASE WHEN len(calls) > 0 THEN array_to_string(calls, ', ') ELSE '(none)' END || {NL} || 'Strings: ' || CASE WHEN len(strings) > 0 THEN array_to_string(strings, ', ') ELSE '(none)' END ||
   CASE WHEN source_file IS NOT NULL THEN {NL} || 'Source: ' || source_file || ' lines ' || line_start || '-' || line_end ELSE '' END || {NL} || {NL} || 'Disassembly:' || {NL} ||
-  CASE WHEN disassembly <> '' THEN substr(disassembly, 1, 2500) ELSE '(none)' END || {NL} || {NL} || 'Allowed: ' || (SELECT string_agg(cwe_id, ', ' ORDER BY rule_ordinal) FROM v_rules) || {NL} || 'Reply with ONLY a JSON array.' AS prompt
+  CASE WHEN disassembly <> '' THEN disassembly ELSE '(none)' END || {NL} || {NL} || 'Allowed: ' || (SELECT string_agg(cwe_id, ', ' ORDER BY rule_ordinal) FROM v_rules) || {NL} || 'Reply with ONLY a JSON array.' AS prompt
   FROM v_functions JOIN v_hints USING ({ID}))""")
 def build_prompts(spark, sf):
     rows = U.build_prompts(V.v_functions(spark, sf), default_catalog(spark))
@@ -325,8 +337,8 @@ _AUTO = f"""(SELECT {ID}, answer, p, CASE WHEN len(p) > 0 THEN p WHEN len(m) > 0
   JOIN (SELECT {ID}, ids AS m FROM v_matches) USING ({ID}) JOIN (SELECT {ID}, ids AS h FROM v_hints) USING ({ID}))"""
 
 
-@query("J13", f"""SELECT {ID}, array_to_string(cwe, ',') AS cwe, md5(substr(answer || CASE WHEN len(p) = 0 AND len(cwe) > 0
-  THEN {NL} || '[catalog fallback: ' || array_to_string(cwe, ', ') || ']' ELSE '' END, 1, 8000)) AS raw_md5, 'llama3.2' AS model FROM {_AUTO}""")
+@query("J13", f"""SELECT {ID}, array_to_string(cwe, ',') AS cwe, md5(answer || CASE WHEN len(p) = 0 AND len(cwe) > 0
+  THEN {NL} || '[catalog fallback: ' || array_to_string(cwe, ', ') || ']' ELSE '' END) AS raw_md5, 'llama3.2' AS model FROM {_AUTO}""")
 def auto_labels(spark, sf):
     rows = L.auto_labels(V.v_functions(spark, sf), V.v_responses(spark, sf), default_catalog(spark))
     return plain(rows.select(*C.KEY, "cwe", F.md5(F.col("llm_trace.raw_response").cast("binary")).alias("raw_md5"),
@@ -393,20 +405,32 @@ _RANKED = f"""(SELECT p.*, f.* EXCLUDE ({ID}), row_number() OVER (PARTITION BY {
   FROM v_predictions p JOIN v_functions f USING ({ID}))"""
 
 
-@query("T1, J12", f"SELECT {ID}, rank, name, round(score, 6) + 0.0 AS score, is_vulnerable, source_file FROM {_RANKED} WHERE rank <= 500")
+@query("T1, J12", f"SELECT {ID}, rank, name, round(score, 6) + 0.0 AS score, is_vulnerable, source_file FROM {_RANKED}")
 def rank_findings(spark, sf):
     ranked = R.rank_findings(V.v_predictions(spark, sf), V.v_functions(spark, sf))
     return plain(ranked.select(*C.KEY, "rank", "name", "score", "is_vulnerable", "source_file"))
 
 
+@query("T1", f"SELECT {ID}, rank, name FROM {_RANKED} WHERE rank <= 7")
+def rank_findings_limited(spark, sf):
+    ranked = R.rank_findings(V.v_predictions(spark, sf), V.v_functions(spark, sf), 7)
+    return plain(ranked.select(*C.KEY, "rank", "name"))
+
+
+@query("P7", f"SELECT {ID}, md5(substr(disassembly, 1, 200)) AS asm_md5 FROM v_predictions JOIN v_functions USING ({ID})")
+def to_findings_limited(spark, sf):
+    rows = R.to_findings(V.v_predictions(spark, sf), V.v_functions(spark, sf), 200)
+    return plain(rows.select(*C.KEY, F.md5(F.col("disassembly").cast("binary")).alias("asm_md5")))
+
+
 @query("P4", f"""SELECT {ID}, rank, name FROM (SELECT p.*, f.name, row_number() OVER (PARTITION BY firmware_id ORDER BY score DESC, func_ordinal) AS rank
-  FROM v_predictions p JOIN v_functions f USING ({ID}) WHERE has_source_mapping) WHERE rank <= 500""")
+  FROM v_predictions p JOIN v_functions f USING ({ID}) WHERE has_source_mapping)""")
 def rank_findings_source_only(spark, sf):
     ranked = R.rank_findings(V.v_predictions(spark, sf), V.v_functions(spark, sf), source_only=True)
     return plain(ranked.select(*C.KEY, "rank", "name"))
 
 
-@query("P7", f"""SELECT {ID}, name, address, source_file, line_start, line_end, md5(substr(disassembly, 1, 32000)) AS asm_md5, is_vulnerable
+@query("P7", f"""SELECT {ID}, name, address, source_file, line_start, line_end, md5(disassembly) AS asm_md5, is_vulnerable
   FROM v_predictions JOIN v_functions USING ({ID})""")
 def to_findings(spark, sf):
     rows = R.to_findings(V.v_predictions(spark, sf), V.v_functions(spark, sf))
@@ -440,7 +464,7 @@ def near_threshold(spark, sf):
 
 
 @query("T4", f"""SELECT {ID}, name, round(score, 6) + 0.0 AS score, address, size, instructions, array_to_string(calls, ', ') AS calls,
-  array_to_string(strings[1:12], ', ') || CASE WHEN len(strings) > 12 THEN ' …' ELSE '' END AS strings, array_to_string(cwe, ', ') AS cwe, evidence
+  array_to_string(strings, ', ') AS strings, array_to_string(cwe, ', ') AS cwe, evidence
   FROM v_predictions JOIN v_functions USING ({ID}) JOIN ({_evidence_sql()}) USING ({ID}) WHERE is_vulnerable""")
 def flagged_detail(spark, sf):
     functions = V.v_functions(spark, sf)

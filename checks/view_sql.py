@@ -75,7 +75,7 @@ SELECT firmware_id, func_id, list_sort(list_distinct(list_filter(list_concat(lis
     list_transform(regexp_extract_all(disassembly, '(?i)\\bjal\\s+([^\\s,]+)', 1), lambda x: trim(x, '<>'))), list_concat(
     flatten(list_transform(list_filter(string_split(disassembly, {NL}), lambda l: regexp_matches(l, '(?i)\\bcall\\d*\\b')),
             lambda l: regexp_extract_all(l, '<([A-Za-z_][\\w.]*)>', 1))),
-    list_filter({strings(C.PLAIN_CALL_TOKENS)}, lambda t: contains(lower(disassembly), t)))), lambda x: x <> '')))[1:64] AS asm_calls
+    list_filter({strings(C.PLAIN_CALL_TOKENS)}, lambda t: contains(lower(disassembly), t)))), lambda x: x <> ''))) AS asm_calls
 FROM v_asm"""
 
 V["v_functions"] = f"""
@@ -214,7 +214,8 @@ SELECT cwe_id, list_filter(string_split_regex(lower(detection_signals), '[,;|\\s
 FROM v_rules"""
 
 V["v_haystack"] = """
-SELECT firmware_id, func_id, lower(name || ' ' || array_to_string(calls, ' ') || ' ' || array_to_string(strings, ' ') || ' ' || substr(disassembly, 1, 4000)) AS haystack,
+SELECT firmware_id, func_id, lower(name || ' ' || array_to_string(calls, ' ') || ' ' || array_to_string(strings, ' ') || ' ' || disassembly) AS haystack,
+  lower(name || ' ' || array_to_string(calls, ' ') || ' ' || array_to_string(strings, ' ') || ' ' || substr(disassembly, 1, 400)) AS cut,
   lower(name || ' ' || array_to_string(calls, ' ') || ' ' || array_to_string(strings, ' ') || ' ' || disassembly) AS whole
 FROM v_functions"""
 
@@ -260,7 +261,7 @@ QUALIFY rank() OVER (PARTITION BY firmware_id, address ORDER BY size DESC, ordin
 
 V["v_numbered"] = """
 SELECT firmware_id, printf('func_%03d', n) AS func_id, n AS func_ordinal, name, printf('0x%08X', address) AS address, address AS address_int, size
-FROM (SELECT *, row_number() OVER (PARTITION BY firmware_id ORDER BY address) AS n FROM v_dedup) WHERE n <= 400"""
+FROM (SELECT *, row_number() OVER (PARTITION BY firmware_id ORDER BY address) AS n FROM v_dedup) """
 
 V["v_line_table"] = """
 SELECT 'fw' || user_id AS firmware_id, event_id AS ordinal, 4096 + 64 * (event_id // 5) + 4 * (user_id % 16) AS address,

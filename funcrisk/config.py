@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
-    max_functions: int = 400
-    max_asm_lines: int = 260
+    # Limits cut data and are off unless a caller sets them.
+    max_functions: int | None = None
     snippet_context: int = 8
     threshold: float = 0.7
     cwe_boost: float = 0.3
-    max_findings: int = 500
+    max_findings: int | None = None
     validation_split: float = 0.2
     seed: int = 42
     fn_cost_multiplier: float = 5.0

@@ -18,8 +18,8 @@ _SYMBOL = r"(?U)<([A-Za-z_][\w.]*)>"
 _INSTRUCTION_LINE = r"\n(?U:[^\S\n]*+[^\s.])"
 
 
-def calls_from_asm(asm: Column) -> Column:
-    """Names called in a disassembly: targets, bracketed symbols, plain mentions; sorted, first 64."""
+def calls_from_asm(asm: Column, max_calls: int | None = None) -> Column:
+    """Names called in a disassembly: targets, bracketed symbols, plain mentions; sorted, all or the first max_calls."""
     asm = F.coalesce(asm, F.lit(""))
     call_lines = F.array_join(F.regexp_extract_all(line_starts(asm), F.lit(_CALL_LINE), F.lit(0)), "")
     found = F.concat(
@@ -29,7 +29,8 @@ def calls_from_asm(asm: Column) -> Column:
         words_found(F.lower(asm), C.PLAIN_CALL_TOKENS),
     )
     names = F.array_remove(F.array_distinct(found), "")
-    return F.slice(F.sort_array(names), 1, C.MAX_CALLS)
+    names = F.sort_array(names)
+    return names if max_calls is None else F.slice(names, 1, max_calls)
 
 
 def name_hints(name: Column) -> Column:

@@ -86,7 +86,7 @@ def haystack(
     strings: Column,
     disassembly: Column,
     snippet_lines: Column | None = None,
-    asm_chars: int | None = 4000,
+    asm_chars: int | None = None,
 ) -> Column:
     """Everything known about a function as one lower-case text.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from funcrisk import constants as C
 from funcrisk.functions.calls import omit_asm_text
 from funcrisk.functions.risk import evidence, risk_tier, tier_order
 from funcrisk.functions.text import empty_strings
-from funcrisk.scale import top_per_key
-
-MAX_ASM_CHARS = 32_000
+from funcrisk.scale import number_rows, top_per_key
 
 
-def to_findings(predictions: DataFrame, functions: DataFrame) -> DataFrame:
-    """One finding per prediction, with what is known of its function."""
+def to_findings(
+    predictions: DataFrame, functions: DataFrame, max_asm_chars: int | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One finding per prediction, with what is known of its function and the prediction's columns in keep."""
+    asm = F.col("disassembly") if max_asm_chars is None else F.substring("disassembly", 1, max_asm_chars)
     have = set(functions.columns)
     optional = {
         "source_file": "string", "line_start": "bigint", "line_end": "bigint",
@@ -37,8 +40,8 @@ def to_findings(predictions: DataFrame, functions: DataFrame) -> DataFrame:
         F.coalesce("has_source_mapping", F.lit(False)).alias("has_source_mapping"),
         F.coalesce(blank("resolved_source_path"), F.col("source_snippet.resolved_path")).alias("resolved_source_path"),
         "source_snippet",
-        F.nullif(F.substring("disassembly", 1, MAX_ASM_CHARS), F.lit("")).alias("disassembly"),
-        "llm_trace",
+        F.nullif(asm, F.lit("")).alias("disassembly"),
+        "llm_trace", *keep,
     )
 
 
@@ -51,11 +54,11 @@ def _score_order() -> list[Column]:
 
 
 def rank_findings(
-    predictions: DataFrame, functions: DataFrame, max_rows: int = 500, source_only: bool = False
+    predictions: DataFrame, functions: DataFrame, max_rows: int | None = None, source_only: bool = False
 ) -> DataFrame:
-    """The first findings per image: readable source first, then any source file, then by score.
+    """Ranked findings per image, all or the first max_rows: readable source first, then any source file, then by score.
 
-    Only keys and sort columns are ranked; texts and snippets join the winners afterwards.
+    All of them are numbered in buckets that follow the order, so that an image is not one task's work. Only keys and sort columns are ranked; texts and snippets join the winners afterwards.
     """
     have = set(functions.columns)
     slim = functions.select(
@@ -68,10 +71,14 @@ def rank_findings(
     if source_only:
         rows = rows.filter("_mapped")
     order = [F.coalesce("_snippet", F.lit(False)).desc(), F.coalesce("_file", F.lit(False)).desc(), *_score_order()]
-    best = top_per_key(rows, ["firmware_id"], order, max_rows, ["func_id"])
-    ranks = best.select(*C.KEY, "rank")
-    winners = best.select(*predictions.columns)
-    return to_findings(winners, functions).join(ranks, C.KEY)
+    if max_rows is None:
+        late = lambda c, n: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(n)
+        below = F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))) * 1023)
+        bucket = late("_snippet", 2048) + late("_file", 1024) + F.coalesce(below, F.lit(1023))
+        best = number_rows(rows, ["firmware_id"], bucket, [*order, F.col("func_id")], "rank")
+    else:
+        best = top_per_key(rows, ["firmware_id"], [*order, F.col("func_id")], max_rows, ["func_id"])
+    return to_findings(best.select(*predictions.columns, "rank"), functions, keep=["rank"])
 
 
 def top_by_score(findings: DataFrame, n: int = 25) -> DataFrame:
@@ -86,17 +93,18 @@ def near_threshold(predictions: DataFrame, threshold: float, n: int = 15) -> Dat
 
 def flagged_detail(
     predictions: DataFrame, functions: DataFrame, matrix: DataFrame, threshold: float,
-    labels: DataFrame | None = None, max_asm_lines: int = 240,
+    labels: DataFrame | None = None, max_asm_lines: int | None = None, max_strings: int | None = None,
 ) -> DataFrame:
     """Every flagged function with its facts and the evidence, sorted by image and score."""
     flagged = predictions.filter("is_vulnerable")
+    strings = F.array_join("strings", ", ")
+    if max_strings is not None:
+        cut = F.concat(F.array_join(F.slice("strings", 1, max_strings), ", "), F.lit(" …"))
+        strings = F.when(F.size("strings") > max_strings, cut).otherwise(strings)
     facts = functions.select(
         *C.KEY, "func_ordinal", "name", "address", "size", "instructions", "calls",
-        F.when(
-            F.size("strings") > 12,
-            F.concat(F.array_join(F.slice("strings", 1, 12), ", "), F.lit(" …")),
-        ).otherwise(F.array_join("strings", ", ")).alias("strings"),
-        omit_asm_text(F.col("disassembly"), max_asm_lines).alias("disassembly"),
+        strings.alias("strings"),
+        (F.col("disassembly") if max_asm_lines is None else omit_asm_text(F.col("disassembly"), max_asm_lines)).alias("disassembly"),
     )
     reasons = matrix.select(*C.KEY, evidence().alias("evidence"))
     rows = flagged.join(facts, C.KEY, "left").join(reasons, C.KEY, "left")

@@ -255,31 +255,30 @@ def label_gaps(functions: DataFrame, sheet: DataFrame) -> DataFrame:
 
 def auto_labels(
     functions: DataFrame, responses: DataFrame, catalog: DataFrame,
-    provider: str = "ollama", model: str = "llama3.2",
+    provider: str = "ollama", model: str = "llama3.2", max_answer_chars: int | None = None,
 ) -> DataFrame:
-    """(firmware_id, func_id, cwe, llm_trace): the answer's ids, else broad matches, else hints."""
+    """(firmware_id, func_id, cwe, llm_trace): the answer's ids, else broad matches, which hold all that hints would find."""
     allowed = labelable(catalog).agg(F.collect_set(F.upper("cwe_id")).alias("ids")).scalar()
     rows = with_haystack(functions)
     rows = rule_matches(rows, broad_rules(catalog), "matches")
-    rows = rule_matches(rows, signal_rules(catalog), "hints")
     rows = rows.join(responses.select(*C.KEY, "answer"), C.KEY, "left").withColumn("_allowed", allowed)
     parsed = F.when(F.size("_allowed") > 0, parse_cwe_answer(F.col("answer"), F.col("_allowed"))).otherwise(
         parse_cwe_answer(F.col("answer"))
     )
     rows = rows.withColumn("_parsed", parsed)
-    fallback = F.when(F.size("matches") > 0, F.col("matches")).otherwise(F.col("hints"))
-    cwe = F.when(F.size("_parsed") > 0, F.col("_parsed")).otherwise(fallback)
+    cwe = F.when(F.size("_parsed") > 0, F.col("_parsed")).otherwise(F.col("matches"))
     rows = rows.withColumn("cwe", cwe)
     note = F.when(
         (F.size("_parsed") == 0) & (F.size("cwe") > 0),
         F.concat(F.lit("\n[catalog fallback: "), F.array_join("cwe", ", "), F.lit("]")),
     ).otherwise(F.lit(""))
+    noted = F.concat(F.coalesce("answer", F.lit("")), note)
     trace = F.struct(
         F.col("func_id"),
         F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("func_id")).alias("function_name"),
         F.lit(provider).alias("provider"),
         F.lit(model).alias("model"),
-        F.substring(F.concat(F.coalesce("answer", F.lit("")), note), 1, 8000).alias("raw_response"),
+        (noted if max_answer_chars is None else F.substring(noted, 1, max_answer_chars)).alias("raw_response"),
         F.col("cwe").alias("parsed_cwe"),
     )
     return rows.select(*C.KEY, "cwe", trace.alias("llm_trace"))

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funcrisk import constants as C
 from funcrisk.functions.text import empty_strings, haystack, signal_tokens
-from funcrisk.scale import fits_broadcast
 
-# The public weakness list has about a thousand ids; a catalog of up to this many rides along as one value.
-MAX_INLINE_RULES = 5_000
+@dataclass(frozen=True)
+class PromptLimits:
+    """What a prompt shows at most; None is all of it."""
+    rules: int | None = None
+    rule_chars: int | None = None
+    signal_chars: int | None = None
+    strings: int | None = None
+    snippet_lines: int | None = None
+    asm_chars: int | None = None
+
+
+def _first_chars(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
+def _first_items(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
 def labelable(catalog: DataFrame) -> DataFrame:
@@ -38,7 +53,7 @@ def broad_rules(catalog: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame
     return labelable(catalog).select("cwe_id", tokens.alias("tokens"))
 
 
-def with_haystack(functions: DataFrame, asm_chars: int | None = 4000) -> DataFrame:
+def with_haystack(functions: DataFrame, asm_chars: int | None = None) -> DataFrame:
     snippet = F.col("source_snippet.lines")["text"] if "source_snippet" in functions.columns else None
     return functions.withColumn(
         "haystack",
@@ -50,15 +65,18 @@ def rule_matches(
     functions: DataFrame,
     rules: DataFrame,
     name: str,
-    max_inline: int = MAX_INLINE_RULES,
+    method: str = "inline",
     keys: Sequence[str] = tuple(C.KEY),
 ) -> DataFrame:
     """functions (with a haystack) plus the sorted ids of the rules one of whose tokens it holds.
 
-    A catalog of checked size is one scalar value and the test stays inside the row. A larger one
-    is joined on three-character pieces, which every token has, and only real hits go on.
+    method "inline" carries the catalog as one scalar value, and the test stays inside the row: for catalogs such as
+    the public weakness list with its thousand ids. "join" meets larger ones on three-character pieces, which
+    every token has, and only real hits go on. Both give the same rows, also where keys repeat.
     """
-    if fits_broadcast(rules, max_inline):
+    if method not in ("inline", "join"):
+        raise ValueError(f"no such method: {method}")
+    if method == "inline":
         inline = rules.agg(F.collect_list(F.struct("cwe_id", "tokens")).alias("r")).scalar()
 
         # The text is bound to a variable first: written inside the test it would be put together
@@ -73,7 +91,9 @@ def rule_matches(
             .withColumn(name, F.sort_array(F.array_distinct(ids)))
             .drop("_rules")
         )
-    keys = list(keys)
+    # Rows that repeat a key are told apart by their text; equal ones share their hits.
+    functions = functions.withColumn("_text", F.xxhash64("haystack"))
+    keys = [*keys, "_text"]
     tokens = rules.select("cwe_id", F.explode("tokens").alias("token")).distinct().withColumn(
         "_piece", F.substring("token", 1, 3)
     )
@@ -81,24 +101,24 @@ def rule_matches(
     pieces = F.regexp_extract_all("haystack", F.lit("(?s)(?=(...))"), F.lit(1))
     hits = (
         functions.select(*keys, F.explode(F.array_distinct(pieces)).alias("_piece"))
-        .join(distinct_tokens, "_piece")
+        .join(distinct_tokens, "_piece").select(*keys, "token").distinct()
         .join(functions.select(*keys, "haystack"), keys)
         .filter(F.contains("haystack", F.col("token")))
         .select(*keys, "token")
         .join(tokens.select("token", "cwe_id"), "token")
         .groupBy(*keys).agg(F.sort_array(F.collect_set("cwe_id")).alias(name))
     )
-    return functions.join(hits, keys, "left").withColumn(name, F.coalesce(name, empty_strings()))
+    return functions.join(hits, keys, "left").withColumn(name, F.coalesce(name, empty_strings())).drop("_text")
 
 
-def signal_hints(functions: DataFrame, catalog: DataFrame, asm_chars: int | None = 4000) -> DataFrame:
+def signal_hints(functions: DataFrame, catalog: DataFrame, asm_chars: int | None = None) -> DataFrame:
     """Functions with hints: ids of the rules whose signals occur in what is known of them."""
     rows = with_haystack(functions, asm_chars)
     return rule_matches(rows, signal_rules(catalog), "hints").drop("haystack")
 
 
 def signal_matches(
-    functions: DataFrame, catalog: DataFrame, asm_chars: int | None = 4000, stop_words: Sequence[str] = ()
+    functions: DataFrame, catalog: DataFrame, asm_chars: int | None = None, stop_words: Sequence[str] = ()
 ) -> DataFrame:
     """Functions with matches: as hints, over all the prose of a rule."""
     rows = with_haystack(functions, asm_chars)
@@ -109,9 +129,11 @@ def _bracketed(prefix: str, column: str, suffix: str) -> Column:
     return F.when(F.col(column) != "", F.concat(F.lit(prefix), F.col(column), F.lit(suffix))).otherwise(F.lit(""))
 
 
-def rule_block(catalog: DataFrame, max_rules: int = 30) -> DataFrame:
+def rule_block(catalog: DataFrame, limits: PromptLimits = PromptLimits()) -> DataFrame:
     """One row: the rules part of every prompt, and the ids it allows."""
-    first = labelable(catalog).orderBy("priority", "cwe_id").limit(max_rules)
+    first = labelable(catalog)
+    if limits.rules is not None:
+        first = first.orderBy("priority", "cwe_id").limit(limits.rules)
     rule = F.trim(
         F.coalesce(
             F.nullif(F.col("llm_labeling_rule"), F.lit("")),
@@ -124,11 +146,11 @@ def rule_block(catalog: DataFrame, max_rules: int = 30) -> DataFrame:
         F.lit("- "), F.col("cwe_id"), F.lit(" "), F.col("cwe_name"),
         _bracketed(" [ESP32: ", "esp32_relevance", "]"),
         _bracketed(" components=", "esp32_components", ""),
-        F.when(rule != "", F.concat(F.lit("\n  Rule: "), F.substring(rule, 1, 500))).otherwise(F.lit("")),
+        F.when(rule != "", F.concat(F.lit("\n  Rule: "), _first_chars(rule, limits.rule_chars))).otherwise(F.lit("")),
         F.when((signals != "") & (signals != rule),
-               F.concat(F.lit("\n  Signals: "), F.substring(signals, 1, 300))).otherwise(F.lit("")),
+               F.concat(F.lit("\n  Signals: "), _first_chars(signals, limits.signal_chars))).otherwise(F.lit("")),
     )
-    # At most max_rules rows.
+    # One value of the catalog's size, as every prompt holds it.
     ordered = F.sort_array(F.collect_list(F.struct("priority", "cwe_id", text.alias("text"))))
     rows = first.agg(ordered.alias("r"))
     allowed = F.array_join(F.col("r")["cwe_id"], ", ")
@@ -145,13 +167,13 @@ def allowed_ids(catalog: DataFrame) -> DataFrame:
     return labelable(catalog).agg(ids.alias("r")).select(F.col("r")["cwe_id"].alias("ids"))
 
 
-def build_prompts(functions: DataFrame, catalog: DataFrame, asm_chars: int = 2500) -> DataFrame:
+def build_prompts(functions: DataFrame, catalog: DataFrame, limits: PromptLimits = PromptLimits()) -> DataFrame:
     """Functions with the prompt that asks a model for their ids."""
     rows = signal_hints(functions, catalog)
     columns = set(rows.columns)
     empty = F.lit("")
     listed = lambda items, n=None: F.when(
-        F.size(items) > 0, F.array_join(items if n is None else F.slice(items, 1, n), ", ")
+        F.size(items) > 0, F.array_join(_first_items(items, n), ", ")
     ).otherwise(F.lit("(none)"))
     location, source = empty, empty
     if "source_file" in columns:
@@ -162,7 +184,7 @@ def build_prompts(functions: DataFrame, catalog: DataFrame, asm_chars: int = 250
         location = F.when(has_file, F.concat(F.lit("\nSource: "), F.col("source_file"), lines)).otherwise(empty)
     if "source_snippet" in columns:
         shown = F.transform(
-            F.slice("source_snippet.lines", 1, 40),
+            _first_items(F.col("source_snippet.lines"), limits.snippet_lines),
             lambda r: F.concat(F.lit("  "), r["number"], F.lit(": "), r["text"], F.lit("\n")),
         )
         path = F.coalesce(
@@ -172,7 +194,7 @@ def build_prompts(functions: DataFrame, catalog: DataFrame, asm_chars: int = 250
             F.size(F.coalesce(F.col("source_snippet.lines"), F.array())) > 0,
             F.concat(F.lit("\nSource ("), path, F.lit("):\n"), F.array_join(shown, "")),
         ).otherwise(empty)
-    asm = F.substring(F.coalesce("disassembly", empty), 1, asm_chars)
+    asm = _first_chars(F.coalesce("disassembly", empty), limits.asm_chars)
     hints = F.when(
         F.size("hints") > 0, F.concat(F.lit("\nConsider: "), F.array_join("hints", ", "), F.lit("\n"))
     ).otherwise(empty)
@@ -181,13 +203,13 @@ def build_prompts(functions: DataFrame, catalog: DataFrame, asm_chars: int = 250
         F.lit(C.PROMPT_HEAD + "\n\n"), F.col("_block"), hints,
         F.lit("\nFunction: "), F.coalesce("name", F.lit("unknown")),
         F.lit("\nCalls: "), listed(F.coalesce(F.col("calls"), empty_strings())),
-        F.lit("\nStrings: "), listed(F.coalesce(F.col("strings"), empty_strings()), 20), location,
+        F.lit("\nStrings: "), listed(F.coalesce(F.col("strings"), empty_strings()), limits.strings), location,
         F.lit("\n"), source, F.lit("\nDisassembly:\n"),
         F.when(asm != "", asm).otherwise(F.lit("(none)")),
         F.lit("\n\nAllowed: "), allowed, F.lit("\n" + C.PROMPT_TAIL),
     )
     return (
-        rows.withColumns({"_block": rule_block(catalog).scalar(), "_ids": allowed_ids(catalog).scalar()})
+        rows.withColumns({"_block": rule_block(catalog, limits).scalar(), "_ids": allowed_ids(catalog).scalar()})
         .withColumn("prompt", prompt)
         .drop("_block", "_ids")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funcrisk import constants as C
-from funcrisk.scale import join_per_key, top_per_key
+from funcrisk.scale import join_per_key, number_rows, top_per_key
 
 
 def code_ranges(sections: DataFrame) -> DataFrame:
@@ -55,11 +55,16 @@ def dedup_symbols(symbols: DataFrame) -> DataFrame:
     )
 
 
-def number_functions(symbols: DataFrame, max_functions: int = 400) -> DataFrame:
-    """The first functions of every image in address order, with their ids."""
-    ranked = top_per_key(
-        symbols, ["firmware_id"], [F.col("address")], max_functions, ["address"], "func_ordinal"
-    )
+def number_functions(symbols: DataFrame, max_functions: int | None = None) -> DataFrame:
+    """All functions of every image in address order, or the first max_functions, with their ids.
+
+    All of them are numbered by blocks of addresses, so that a large image is not one task's work.
+    """
+    if max_functions is None:
+        block = F.shiftright(F.col("address").cast("bigint"), 14)
+        ranked = number_rows(symbols, ["firmware_id"], block, [F.col("address")], "func_ordinal")
+    else:
+        ranked = top_per_key(symbols, ["firmware_id"], [F.col("address")], max_functions, ["address"], "func_ordinal")
     return ranked.select(
         "firmware_id",
         F.format_string("func_%03d", "func_ordinal").alias("func_id"),

@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A side of at most this many narrow rows (a few dozen MB) may be broadcast.
-BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most max_rows rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_per_key(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join big to small, where small has at most one row per key and big may have hot keys.
 
-    A small side of checked size is broadcast. Beyond that, each of its rows is copied once per
-    salt and big is spread over the salts, so that a hot key is shared by that many tasks.
+    Spark broadcasts small where it knows its bytes to be few, and splits hot keys of big at run time. With
+    salts each row of small is copied once per salt and big is spread over them, for engines set to do neither.
     """
     keys = list(keys)
-    if fits_broadcast(small.select(*keys), max_rows):
-        return big.join(F.broadcast(small), keys, how)
+    if salts is None:
+        return big.join(small, keys, how)
     payload = [F.col(c) for c in big.columns]
     salt = F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -101,11 +92,13 @@ def number_rows(
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one the session names for checkpoints, which all executors share.
 
-    Only where none is named, as in local tests, a temporary folder takes its place.
+    Where none is named, a local master, as in tests, gets a new one; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -144,9 +137,8 @@ def sorted_index(df: DataFrame, order: Sequence[Column], name: str = "position")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores where its input has fewer parts than there are cores; else df itself."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """df over all shuffle partitions, by keys."""
+    return df.repartition(*keys)
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
