@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,30 @@ def grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
 
 
+def spelled(first: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """All places of runs."""
+    return np.repeat(first - np.r_[0, np.cumsum(run)[:-1]], run) + np.arange(run.sum()) if len(first) else np.zeros(0, np.int64)
+
+
+def split_long(first: np.ndarray, run: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs cut so that none is longer than `most`, from their starts."""
+    if not len(run) or run.max() <= most:
+        return first, run
+    n = -(-run // most)
+    k = spelled(np.zeros(len(n), np.int64), n)
+    return np.repeat(first, n) + k * most, np.minimum(most, np.repeat(run, n) - k * most)
+
+
+@dataclass
+class Runs:
+    """Runs of windows in one slice (first text, last text, bytes, sizes, ends, names): first places, lengths, doc_ids, names."""
+    part: tuple
+    first: np.ndarray
+    run: np.ndarray
+    ids: np.ndarray
+    name: np.ndarray
+
+
 class Windows:
     """All windows of `length` bytes of a block's texts, as runs of neighbours that one prefix stands for.
 
@@ -105,37 +130,51 @@ class Windows:
         self.short, low_id, high_id = grouped(np.concatenate([np.zeros(0, U64), *short]), np.concatenate([np.zeros(0, np.int64), *owner]))
         self.twice = low_id != high_id
 
-    def candidates(self, shared: np.ndarray) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-        """(slice, places, names at full length) of the windows whose short key is flagged."""
-        wanted = self.short[shared]
-        for part in self.slices:
-            name, first, run, key = part[5:]
-            at = np.zeros(0, np.int64)
+    def full(self, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Names at the whole length: pairs of names at the offset that is left."""
+        step = self.length - self.half
+        return B.mixed(name[at] * U64(2 * self.length + 1) + B.mixed(name[at + step] ^ U64(self.length))) if step else name[at]
+
+    def flagged(self, shared: np.ndarray) -> list[Runs]:
+        """The runs whose short key is flagged, of at most half a window each, and their names: those of both ends and the length."""
+        wanted, out = self.short[shared], []
+        for a, b, raw, sizes, ends, name, first, run, key in self.slices:
+            hit = np.zeros(len(first), bool)
             if len(wanted) and len(first):
                 near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 hit = wanted[near] == key
-                first, run = first[hit], run[hit]
-                at = np.repeat(first - np.r_[0, np.cumsum(run)[:-1]], run) + np.arange(run.sum()) if len(first) else at
-            step = self.length - self.half
-            full = B.mixed(name[at] * U64(2 * self.length + 1) + B.mixed(name[at + step] ^ U64(self.length))) if step else name[at]
-            yield part, at, full
-
-    def owners(self, found: list[tuple[tuple, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sorted names of candidate windows and the smallest doc_id of each."""
-        name = np.concatenate([np.zeros(0, U64), *[x[2] for x in found]])
-        owner = np.concatenate([np.zeros(0, np.int64), *[self.ids[x[0][0]:x[0][1]][np.searchsorted(x[0][4], x[1], "right")] for x in found]])
-        return grouped(name, owner)[:2]
-
-    def covered(self, found: list[tuple[tuple, np.ndarray, np.ndarray]], known: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+            first, run = split_long(first[hit], run[hit], max(1, self.length // 2))
+            ids = self.ids[a:b][np.searchsorted(ends, first, "right")]
+            whole = B.mixed(self.full(name, first) * U64(3) + B.mixed(self.full(name, first + run - 1) ^ run.astype(U64)))
+            out.append(Runs((a, b, raw, sizes, ends, name), first, run, ids, whole))
+        return out
+
+    def windows_of(self, runs: list[Runs], late: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, doc_ids, names) of the single windows in runs that are not late."""
+        out = []
+        for r, gone in zip(runs, late):
+            first, run = r.first[~gone], r.run[~gone]
+            at = spelled(first, run)
+            out.append((at, np.repeat(r.ids[~gone], run), self.full(r.part[5], at)))
+        return out
+
+    def covered(self, runs: list[Runs], late: list[np.ndarray], single: list[tuple[np.ndarray, np.ndarray, np.ndarray]], known: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
         """(doc_id, text, which bytes go) of every document."""
-        for (a, b, raw, sizes, ends, *_), at, name in found:
-            gone = np.zeros(len(raw), bool)
-            if len(at):
-                late = at[least[np.searchsorted(known, name)] < self.ids[a:b][np.searchsorted(ends, at, "right")]]
-                edge = np.bincount(late, minlength=len(raw) + 1) - np.bincount(late + self.length, minlength=len(raw) + 1)
-                gone = np.cumsum(edge[:-1]) > 0
+        for r, gone_runs, (at, ids, name) in zip(runs, late, single):
+            a, b, raw, sizes, ends, _ = r.part
+            gone = at[least[np.searchsorted(known, name)] < ids] if len(at) else at
+            starts = np.concatenate([r.first[gone_runs], gone])
+            stops = np.concatenate([(r.first + r.run - 1)[gone_runs], gone]) + self.length
+            edge = np.bincount(starts, minlength=len(raw) + 1) - np.bincount(stops, minlength=len(raw) + 1)
+            out = np.cumsum(edge[:-1]) > 0
             for k, end, n in zip(range(a, b), ends, sizes):
-                yield self.ids[k], self.data[k], gone[end - n:end]
+                yield self.ids[k], self.data[k], out[end - n:end]
+
+
+def owners(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted names of (names, doc_ids), and the smallest doc_id of each."""
+    name = np.concatenate([np.zeros(0, U64), *[x for x, _ in found]])
+    return grouped(name, np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]]))[:2]
 
 
 def result(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
@@ -160,8 +199,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     Prefix doubling: positions are named by their first 8 bytes, then by pairs of names at offsets 8, 16 and so on, which
     needs no exchange as names are 64-bit fingerprints. Spark compares names twice. At the last doubling below the length, where each
-    window is ranked by the smallest name in it, a window drops out if no other document has that name. At the full length the windows
-    left are compared by (name, doc_id). Each block sends each name once with its smallest doc_id, so a passage in all documents
+    window is ranked by the smallest name in it, a window drops out if no other document has that name. At the full length, runs of
+    windows that one prefix stands for are compared first, then the single windows of runs that no smaller doc_id has, by (name, doc_id). Each block sends each name once with its smallest doc_id, so a passage in all documents
     costs one fact a block. Whole copies of a text with a smaller doc_id are settled beforehand and take no part.
     """
     docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
@@ -191,9 +230,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         np.logical_or.at(many, at, flags > 0)
         return answer(rows, many[at].astype(np.uint8), 1)
 
+    def late_runs(w: Windows, side: pd.DataFrame) -> tuple[list[Runs], list[np.ndarray]]:
+        """A block's flagged runs, and which of them a smaller doc_id has."""
+        runs = w.flagged(shared(w, side))
+        name, _ = owners([(r.name, r.ids) for r in runs])
+        least = B.answers_of(name, side[side["kind"] == 3], np.int64, B.part_of(name, parts))
+        return runs, [least[np.searchsorted(name, r.name)] < r.ids for r in runs]
+
+    def ask_runs(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        w = Windows(own(texts_, side), length, parts)
+        name, owner = owners([(r.name, r.ids) for r in w.flagged(shared(w, side))])
+        return B.facts(3, int(group[0]), name, owner, B.part_of(name, parts))
+
     def ask_names(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         w = Windows(own(texts_, side), length, parts)
-        name, owner = w.owners(list(w.candidates(shared(w, side))))
+        name, owner = owners([(x[2], x[1]) for x in w.windows_of(*late_runs(w, side))])
         return B.facts(2, int(group[0]), name, owner, B.part_of(name, parts))
 
     def answer_names(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(least, at, owner)
         # Only whether some other block has a smaller owner matters; that owner is told, else the block's own.
-        return answer(rows, least[at], 2)
+        return answer(rows, least[at], int(rows["kind"].iloc[0]))
 
     def answer(rows: pd.DataFrame, vals: np.ndarray, kind: int) -> pd.DataFrame:
         ends = np.cumsum(rows["n"].to_numpy())
@@ -212,10 +263,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     def finish(group: tuple, texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         w = Windows(own(texts_, side), length, parts)
-        found = list(w.candidates(shared(w, side)))
-        name, _ = w.owners(found)
+        runs, late = late_runs(w, side)
+        single = w.windows_of(runs, late)
+        name, _ = owners([(x[2], x[1]) for x in single])
         least = B.answers_of(name, side[side["kind"] == 2], np.int64, B.part_of(name, parts))
-        rows = [result(*x) for x in w.covered(found, name, least)]
+        rows = [result(*x) for x in w.covered(runs, late, single, name, least)]
         copied = set(side.loc[side["kind"] == 0, "part"])
         for doc_id, raw in zip(texts_["doc_id"], texts_["text"]):
             if doc_id in copied:
@@ -228,8 +280,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     asked = both(copies).applyInPandas(ask_keys, B.FACTS)
     told = asked.groupBy("part").applyInPandas(answer_keys, B.ANSWERS)
     side = copies.unionByName(told.select(*copies.columns))
-    asked2 = both(side).applyInPandas(ask_names, B.FACTS)
-    told2 = asked2.groupBy("part").applyInPandas(answer_names, B.ANSWERS)
-    done = both(side.unionByName(told2.select(*copies.columns))).applyInPandas(
+    for ask in (ask_runs, ask_names):
+        told = both(side).applyInPandas(ask, B.FACTS).groupBy("part").applyInPandas(answer_names, B.ANSWERS)
+        side = side.unionByName(told.select(*copies.columns))
+    done = both(side).applyInPandas(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
