@@ -254,15 +254,15 @@ def signal_matches(spark, sf):
     return plain(U.signal_matches(V.v_functions(spark, sf), default_catalog(spark)).select(*C.KEY, "matches"))
 
 
-_BLOCK = f"""(SELECT 'Use ONLY the following CWE IDs when applicable (JSON array output).' || {NL} || 'Apply each rule to the function''s calls, strings, and disassembly:' || {NL} || {NL} ||
+_BLOCK = f"""(SELECT 'Rules, by id. Compare each with what the function calls, its strings and its code; answer with no other ids.' || {NL} || {NL} ||
   string_agg('- ' || cwe_id || ' ' || cwe_name || {NL} || '  Rule: ' || llm_labeling_rule || {NL} || '  Signals: ' || detection_signals, {NL} ORDER BY cwe_id) || {NL} || {NL} || 'Allowed IDs: ' || string_agg(cwe_id, ', ' ORDER BY cwe_id) FROM v_rules)"""
 
 
-@query("F15", f"""SELECT {ID}, length(prompt)::BIGINT AS n, md5(prompt) AS prompt_md5 FROM (SELECT {ID}, 'Assign CWE IDs for this ESP32 function.' || {NL} || {NL} || {_BLOCK} ||
+@query("F15", f"""SELECT {ID}, length(prompt)::BIGINT AS n, md5(prompt) AS prompt_md5 FROM (SELECT {ID}, 'Which of the weaknesses below does this firmware function show?' || {NL} || {NL} || {_BLOCK} ||
   CASE WHEN len(ids) > 0 THEN {NL} || 'Consider: ' || array_to_string(ids, ', ') || {NL} ELSE '' END || {NL} || 'Function: ' || name || {NL} || 'Calls: ' ||
   CASE WHEN len(calls) > 0 THEN array_to_string(calls, ', ') ELSE '(none)' END || {NL} || 'Strings: ' || CASE WHEN len(strings) > 0 THEN array_to_string(strings, ', ') ELSE '(none)' END ||
   CASE WHEN source_file IS NOT NULL THEN {NL} || 'Source: ' || source_file || ' lines ' || line_start || '-' || line_end ELSE '' END || {NL} || {NL} || 'Disassembly:' || {NL} ||
-  CASE WHEN disassembly <> '' THEN disassembly ELSE '(none)' END || {NL} || {NL} || 'Allowed: ' || (SELECT string_agg(cwe_id, ', ' ORDER BY rule_ordinal) FROM v_rules) || {NL} || 'Reply with ONLY a JSON array.' AS prompt
+  CASE WHEN disassembly <> '' THEN disassembly ELSE '(none)' END || {NL} || {NL} || 'Allowed: ' || (SELECT string_agg(cwe_id, ', ' ORDER BY rule_ordinal) FROM v_rules) || {NL} || 'Answer with a JSON array of ids and nothing else.' AS prompt
   FROM v_functions JOIN v_hints USING ({ID}))""")
 def build_prompts(spark, sf):
     rows = U.build_prompts(V.v_functions(spark, sf), default_catalog(spark))

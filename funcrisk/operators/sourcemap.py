@@ -144,9 +144,22 @@ def roots_for_images(manifest: DataFrame, root_map: DataFrame) -> DataFrame:
     return manifest.join(found, "firmware_id", "left")
 
 
+def normal_path(path: Column) -> Column:
+    """path without empty and "." steps, and with each ".." taken back by the step before it; nothing lies above "/"."""
+    absolute = F.startswith(path, F.lit("/"))
+    step = lambda done, p: (
+        F.when(p.isin("", "."), done)
+        .when((p == "..") & (F.size(done) > 0) & ~F.coalesce(F.try_element_at(done, F.lit(-1)) == "..", F.lit(False)),
+              F.slice(done, F.lit(1), F.size(done) - 1))
+        .when((p == "..") & absolute, done)
+        .otherwise(F.concat(done, F.array(p)))
+    )
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), empty_strings(), step), "/"))
+
+
 def source_candidates(source_file: Column, roots: Column) -> Column:
-    """Paths at which a recorded source file may lie, best first."""
-    parts = F.filter(F.split(source_file, "/"), lambda p: p != "")
+    """Paths at which a recorded source file may lie, best first, in normal form."""
+    parts = F.filter(F.split(source_file, "/"), lambda p: ~p.isin("", "."))
     last = F.try_element_at(parts, F.lit(-1))
     two = F.concat_ws("/", F.slice(parts, -2, 2))
     under = lambda root, tail: F.when(
@@ -162,22 +175,24 @@ def source_candidates(source_file: Column, roots: Column) -> Column:
         )
     )
     known = source_file.isNotNull() & ~source_file.isin("", "?", "??")
-    return F.when(known, F.concat(F.array(source_file), per_root)).otherwise(empty_strings())
+    every = F.when(known, F.concat(F.array(source_file), per_root)).otherwise(empty_strings())
+    return F.transform(every, normal_path)
 
 
 def resolve_source(functions: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
     """The functions with resolved_source_path: the first candidate that exists among files(path).
 
-    Images record the same few files for many functions, so each is resolved once.
+    Paths meet in normal form; the file's own path is given. Images record the same few files for many functions, so each is resolved once.
     """
     recorded = functions.select("firmware_id", "source_file").filter(F.col("source_file").isNotNull()).distinct()
     with_roots = join_per_key(recorded, roots.select("firmware_id", "roots"), ["firmware_id"], "left")
     candidates = with_roots.select(
         "firmware_id", "source_file",
-        F.posexplode(source_candidates(F.col("source_file"), F.col("roots"))).alias("_priority", "path"),
-    ).filter(F.col("path").isNotNull())
+        F.posexplode(source_candidates(F.col("source_file"), F.col("roots"))).alias("_priority", "_at"),
+    ).filter(F.col("_at").isNotNull())
+    known = files.groupBy(normal_path(F.col("path")).alias("_at")).agg(F.min("path").alias("path"))
     resolved = (
-        candidates.join(files.select("path").distinct(), "path")
+        candidates.join(known, "_at")
         .groupBy("firmware_id", "source_file")
         .agg(F.min_by("path", "_priority").alias("resolved_source_path"))
     )
@@ -188,7 +203,8 @@ def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) ->
     """The functions with source_snippet, null where no source file is recorded.
 
     source_files holds one row per file with all its lines, so a function meets one row and takes
-    its window from the array; nothing is exploded or regrouped.
+    its window from the array; nothing is exploded or regrouped. Functions without a file get a key of
+    their own, so that they stay spread.
     """
     start = F.greatest(F.lit(1), F.coalesce(F.col("line_start"), F.lit(1))).cast("int")
     end = F.greatest(start, F.coalesce(F.col("line_end"), F.lit(1))).cast("int")
@@ -214,9 +230,10 @@ def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) ->
         F.when(found, rows).otherwise(none).alias("lines"),
         F.when(~found, F.lit("source_file_not_found")).alias("error"),
     )
-    files = source_files.select(F.col("path").alias("resolved_source_path"), "lines")
+    files = source_files.select(F.col("path").alias("_at"), "lines")
+    at = F.coalesce("resolved_source_path", F.concat(F.lit("\0"), F.xxhash64(*C.KEY).cast("string")))
     return (
-        functions.join(files, "resolved_source_path", "left")
+        functions.withColumn("_at", at).join(files, "_at", "left")
         .withColumn("source_snippet", F.when(F.col("source_file").isNotNull(), snippet))
-        .drop("lines")
+        .drop("_at", "lines")
     )

@@ -52,6 +52,27 @@ def test_candidates_in_order(spark):
     assert got == {"1": "/r/main/x.c", "2": "/r/y.c", "3": "/s/d/z.c", "4": "/abs/w.c", "5": None, "6": None, "7": None}
 
 
+def test_paths_meet_in_normal_form(spark):
+    files = spark.createDataFrame([("/idf/components/a.c",), ("/r/./b//c.c",), ("/top.c",)], "path string")
+    functions = spark.createDataFrame(
+        [("i", n, f) for n, f in (("1", "../components/a.c"), ("2", "/r/x/../b/./c.c"), ("3", "../../../top.c"), ("4", "x/../../components//a.c"), ("5", ".."))],
+        "firmware_id string, func_id string, source_file string")
+    roots = spark.createDataFrame([("i", ["/idf/main"])], "firmware_id string, roots array<string>")
+    got = {r["func_id"]: r["resolved_source_path"] for r in S.resolve_source(functions, roots, files).collect()}
+    assert got == {"1": "/idf/components/a.c", "2": "/r/./b//c.c", "3": "/top.c", "4": "/idf/components/a.c", "5": None}
+
+
+def test_normal_path_agrees_with_the_standard_library(spark):
+    from posixpath import normpath
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    paths = ["/" * r.randint(0, 1) + "/".join(r.choice(["a", "b", "..", ".", ""]) for _ in range(r.randint(1, 7))).lstrip("/") for _ in range(300)]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.normal_path(F.col("p")).alias("q")).collect()
+    assert all((r["q"] or ".") == normpath(r["p"]) for r in rows)
+
+
 def test_snippet_window(spark):
     functions = spark.createDataFrame(
         [("i", "1", "x.c", 10, 11, "/x.c"), ("i", "2", "x.c", 1, 1, "/x.c"), ("i", "3", "gone.c", 4, 4, None), ("i", "4", None, None, None, None)],
