@@ -2,44 +2,81 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from funcrisk.llm import tokens
 from funcrisk.llm.common import keep, texts
 
 ROUNDS, EPSILON = 120, 0.3
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Words, and pieces, that a worker remembers, of at most so many characters.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 BUCKETS = 1024
 
 
 class Ids:
-    """Token ids of texts as little-endian bytes. The library encodes each new word once; words end at spaces."""
+    """Token ids of texts as little-endian bytes. Words end at spaces; a new word falls into pieces, and the library's
+    merge model encodes each new piece once, on one thread, as tasks share the cores already."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library, self.words = Tokenizer.from_file(path), {"": b""}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        special = {x.content: np.array([i], "<u4").tobytes() for i, x in self.library.get_added_tokens_decoder().items()}
+        self.special = regex.compile(f"({'|'.join(map(regex.escape, special))})")
+        # Pieces come in normal form and cut; what is left is to write their bytes as letters.
+        self.library.normalizer = normalizers.Sequence([])
+        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.fixed = special
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces = dict(special)
+
+    def cut(self, word: str) -> list[str]:
+        """The pieces of a word; special strings stand for themselves, as the library takes them from a text."""
+        if "<|" not in word:
+            return tokens.PIECES.findall(tokens.normal(word))
+        parts = self.special.split(word)
+        return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else tokens.PIECES.findall(tokens.normal(part)))]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct new pieces: one call, whose word numbers tell the pieces apart."""
+        if not new:
+            return {}
+        e = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+        raw, first = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))
+        ends = (4 * first).tolist()
+        return {x: raw[i:k] for x, i, k in zip(new, ends, ends[1:])}
 
     def of(self, text: str) -> bytes:
         words = text.split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if len(self.words) + len(new) > CACHE_ENTRIES:
+        if len(self.words) > CACHE_ENTRIES:
             self.words = {"": b""}
-            new = list(dict.fromkeys(words))
-        extra = {}
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4").tobytes()
-            (self.words if len(w) <= CACHE_CHARS else extra)[w] = ids
-        if extra:
-            return b"".join([extra[w] if w in extra else self.words[w] for w in words])
-        return b"".join(map(self.words.__getitem__, words))
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces = dict(self.fixed)
+        known, pieces = self.words, self.pieces
+        cuts = {w: self.cut(w) for w in words if w not in known}
+        if not cuts:
+            return b"".join(map(known.__getitem__, words))
+        learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
+        # Long ones serve this text alone.
+        long_pieces = {x: ids for x, ids in learnt.items() if len(x) > CACHE_CHARS}
+        pieces.update((x, ids) for x, ids in learnt.items() if x not in long_pieces)
+        long_words = {}
+        for w, xs in cuts.items():
+            ids = b"".join([long_pieces[x] if x in long_pieces else pieces[x] for x in xs] if long_pieces else map(pieces.__getitem__, xs))
+            (known if len(w) <= CACHE_CHARS else long_words)[w] = ids
+        return b"".join([long_words[w] if w in long_words else known[w] for w in words] if long_words else map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -28,6 +28,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def normal(text: str) -> str:
+    """The vocabulary's normal form: composed, then lower case, letter by letter where a final sigma would make lower() look around."""
+    text = unicodedata.normalize("NFC", text)
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
 class Merger:
     """Counts tokens of words by the merge table of a byte-pair vocabulary with word ends."""
 
@@ -79,11 +85,8 @@ class Merger:
         return left
 
     def plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        # Letter by letter where a final sigma would make lower() look around.
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         total = 0
-        for piece in PIECES.findall(text):
+        for piece in PIECES.findall(normal(text)):
             raw = piece.encode()
             n = self.pieces.get(raw)
             if n is None:
