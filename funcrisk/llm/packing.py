@@ -20,7 +20,7 @@ from funcrisk.llm.common import keep, texts
 
 ROUNDS, EPSILON = 120, 0.3
 #: Words, and pieces, that a worker remembers, of at most so many characters.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 BUCKETS = 1024
 
 
