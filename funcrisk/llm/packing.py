@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from funcrisk.llm.common import keep, texts
 
 ROUNDS, EPSILON = 120, 0.3
 #: Words, and pieces, that a worker remembers, of at most so many characters.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 BUCKETS = 1024
+PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class Ids:
@@ -69,14 +71,13 @@ class Ids:
         if not cuts:
             return b"".join(map(known.__getitem__, words))
         learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
-        # Long ones serve this text alone.
-        long_pieces = {x: ids for x, ids in learnt.items() if len(x) > CACHE_CHARS}
-        pieces.update((x, ids) for x, ids in learnt.items() if x not in long_pieces)
-        long_words = {}
+        # Long pieces, long words and words with a piece not met before serve this text alone.
+        here: dict[str, bytes] = {}
         for w, xs in cuts.items():
-            ids = b"".join([long_pieces[x] if x in long_pieces else pieces[x] for x in xs] if long_pieces else map(pieces.__getitem__, xs))
-            (known if len(w) <= CACHE_CHARS else long_words)[w] = ids
-        return b"".join([long_words[w] if w in long_words else known[w] for w in words] if long_words else map(known.__getitem__, words))
+            ids = b"".join([learnt[x] if x in learnt else pieces[x] for x in xs])
+            (here if len(w) > CACHE_CHARS or any(x in learnt for x in xs) else known)[w] = ids
+        pieces.update((x, ids) for x, ids in learnt.items() if len(x) <= CACHE_CHARS)
+        return b"".join([here[w] if w in here else known[w] for w in words])
 
 
 @lru_cache(maxsize=2)
@@ -87,20 +88,19 @@ def ids_of(path: str) -> Ids:
 def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and end_id, cut every `size` ids; row-local."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last = ids_of(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                raw = ids.of(text) + last
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                raw = ids.of(text.as_py()) + last
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at:at + 4 * size]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                    out.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), PIECE.types)], schema=PIECE)
 
-    return texts(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_configuration(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
