@@ -184,10 +184,18 @@ def result(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
 
 
 def whole_copies(docs: DataFrame, blocks: int) -> DataFrame:
-    """block and doc_id of documents whose text a smaller doc_id has too, byte for byte by SHA-256: all of it repeats."""
-    marked = texts(docs).select("doc_id", F.sha2("text", 256).alias("sha"), B.block_column(blocks))
+    """block, doc_id and SHA-256 of rows whose text a smaller doc_id has too, byte for byte by SHA-256: all of it repeats."""
+    marked = texts(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), B.block_column(blocks))
     groups = marked.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    return marked.join(groups, "sha").filter("doc_id > least").select("block", "doc_id")
+    return marked.join(groups, "sha").filter("doc_id > least").select("block", "doc_id", "sha").distinct()
+
+
+def is_copy(texts_: pd.DataFrame, side: pd.DataFrame) -> np.ndarray:
+    """Which rows are whole copies, by doc_id and text: other rows of the same doc_id need not be."""
+    told = side[side["kind"] == 0]
+    known = set(zip(told["part"], map(bytes, told["vals"])))
+    ids = {k for k, _ in known}
+    return np.array([k in ids and (k, hashlib.sha256(x).digest()) in known for k, x in zip(texts_["doc_id"], texts_["text"])], bool)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -209,11 +217,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     text = B.dealt(docs, blocks)
     nothing = F.lit(None)
     copies = keep(whole_copies(docs, blocks), "copies").select(
-        F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("part"), "block", F.lit(0).cast("long").alias("n"), nothing.cast("binary").alias("vals"),
+        F.lit(0).cast("byte").alias("kind"), F.col("doc_id").alias("part"), "block", F.lit(0).cast("long").alias("n"), F.col("sha").alias("vals"),
         nothing.cast("double").alias("total"), nothing.cast("long").alias("seen"))
 
     def own(texts_: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        return texts_[~texts_["doc_id"].isin(set(side.loc[side["kind"] == 0, "part"]))].sort_values("doc_id")
+        return texts_[~is_copy(texts_, side)].sort_values("doc_id")
 
     def shared(w: Windows, side: pd.DataFrame) -> np.ndarray:
         return B.answers_of(w.short, side[side["kind"] == 1], np.uint8, part_in(w.short)) > 0
@@ -268,10 +276,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         name, _ = owners([(x[2], x[1]) for x in single])
         least = B.answers_of(name, side[side["kind"] == 2], np.int64, B.part_of(name, parts))
         rows = [result(*x) for x in w.covered(runs, late, single, name, least)]
-        copied = set(side.loc[side["kind"] == 0, "part"])
-        for doc_id, raw in zip(texts_["doc_id"], texts_["text"]):
-            if doc_id in copied:
-                rows.append(result(doc_id, raw, np.full(len(raw), len(raw) >= length)))
+        copies_ = texts_[is_copy(texts_, side)]
+        rows += [result(doc_id, raw, np.full(len(raw), len(raw) >= length)) for doc_id, raw in zip(copies_["doc_id"], copies_["text"])]
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     def both(side: DataFrame):

@@ -132,6 +132,18 @@ def test_repeats_go(either, empty, size):
     assert suffixes.remove_repeats(empty).collect() == []
 
 
+def test_a_copied_row_leaves_other_rows_of_its_id(spark):
+    """Null ids are one document that comes last; so do rows that repeat an id with other texts."""
+    own, copy = "only here, " + "0123456789 abcdefghij " * 5, "a passage that two documents hold " * 3
+    rows = [(None, copy), (None, own), (None, "a b"), (3, "a b"), (3, copy), (7, copy), (7, copy), (7, own + "and more"), (7, "short"), (9, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None if k == suffixes.LAST else k, *rest) for k, *rest in removed([(suffixes.LAST if k is None else k, x) for k, x in rows])]
+    for size in (4 << 20, 200):
+        assert Counter(map(tuple, suffixes.remove_repeats(df, block_bytes=size).collect())) == Counter(want)
+    lone = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (None, "long " * 30)], "doc_id long, text string")
+    assert [r["n_removed"] for r in suffixes.remove_repeats(lone).filter("n_bytes = 150").collect()] == [0]
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
