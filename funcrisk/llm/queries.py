@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from funcrisk.llm import exact, mixing, packing, pii, quality, scoring, simhash, sql, suffixes, tokens, urls
+from funcrisk.llm import exact, mixing, packing, pii, quality, scoring, simhash, sql, suffixes, tokens, urls, warc
 from funcrisk.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,9 +54,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OPERATORS = (
     op1_token_counts, op2_exact_dedup, op3_suffix_dedup, op4_personal_data, op5_lm_scores, op6_quality_rules,
-    op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters,
+    op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters, op13_warc,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-SQL: dict[str, str] = {"op2_exact_dedup": sql.OP2, "op6_quality_rules": sql.OP6, "op10_url_filters": sql.OP10}
+SQL: dict[str, str] = {"op2_exact_dedup": sql.OP2, "op6_quality_rules": sql.OP6, "op10_url_filters": sql.OP10, "op13_warc": sql.OP13}
