@@ -61,3 +61,18 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM b
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS n, greatest(1, CAST(sum(len(ts)) AS BIGINT)) AS l FROM d),
+p AS (SELECT k, doc_id, term, count(*) AS tf, any_value(len) AS n FROM (SELECT k, doc_id, len(ts) AS len, unnest(ts) AS term FROM d) GROUP BY k, doc_id, term),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM i),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(s.n) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+r AS (SELECT q.item_id, q.text, p.k, p.doc_id, CAST(sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM q JOIN f ON q.term = f.term JOIN p ON p.term = q.term, s GROUP BY q.item_id, q.text, p.k, p.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
