@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from funcrisk.llm import exact, lexical, mixing, packing, pii, quality, scoring, simhash, sql, suffixes, tokens, urls, warc
+from funcrisk.llm import exact, lexical, mixing, packing, pii, quality, scoring, simhash, sql, suffixes, tokens, trie, urls, warc
 from funcrisk.llm.common import documents
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -64,7 +68,8 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_token_counts, op2_exact_dedup, op3_suffix_dedup, op4_personal_data, op5_lm_scores, op6_quality_rules,
-    op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters, op12_lexical_search, op13_warc,
+    op7_source_mixing, op8_best_fit_packing, op9_simhash, op10_url_filters, op11_prefix_trie, op12_lexical_search,
+    op13_warc,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-SQL: dict[str, str] = {"op2_exact_dedup": sql.OP2, "op6_quality_rules": sql.OP6, "op10_url_filters": sql.OP10, "op12_lexical_search": sql.OP12, "op13_warc": sql.OP13}
+SQL: dict[str, str] = {"op2_exact_dedup": sql.OP2, "op6_quality_rules": sql.OP6, "op10_url_filters": sql.OP10, "op11_prefix_trie": sql.OP11, "op12_lexical_search": sql.OP12, "op13_warc": sql.OP13}

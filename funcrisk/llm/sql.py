@@ -76,3 +76,23 @@ r AS (SELECT q.item_id, q.text, p.k, p.doc_id, CAST(sum(f.w * ((1000000000 * p.t
 o AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM r WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
 """
+
+OP11 = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+  sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+  lambda a, y: list_reduce(list_prepend(xor(a, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda p, z: xor(p >> 1, 3988292384 * (p & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, pos, r, x FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, pos, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+q AS (SELECT c.conv_id, coalesce(list({'r': r, 'x': x} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS seq FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, d, len(seq) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(seq[d].x) END AS chars, min(conv_id) OVER p AS node, count(*) OVER p AS n
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM q) WINDOW p AS (PARTITION BY d, seq[1:d])),
+n AS (SELECT node, d, any_value(n) AS n_convs, (any_value(n) - 1) * any_value(chars) AS saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, d),
+u AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+k AS (SELECT u.*, count(w.node) AS n_children FROM u LEFT JOIN u AS w ON w.parent = u.node AND w.d = u.d + 1 GROUP BY ALL),
+s AS (SELECT m.node, m.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved FROM k JOIN m ON m.conv_id = k.node AND m.d <= k.d GROUP BY m.node, m.d)
+SELECT k.node AS conv_id, CAST(k.d AS BIGINT) AS depth, k.parent AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON s.node = k.node AND s.d = k.d
+"""
