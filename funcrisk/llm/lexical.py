@@ -23,7 +23,7 @@ from funcrisk.scale import top_per_key
 
 BEST = 10
 #: A shard ends with the document that brings it to so many bytes of text, or this many documents.
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
 #: Items that are answered together.
 ITEM_BLOCK = 256
 SHIFT, WINDOW, SLICE = 6, 64, 1 << 20
@@ -71,15 +71,18 @@ class Shard:
 
     def rows(self, shard: int) -> Iterator[pd.DataFrame]:
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
-        found = [self.found[i] for i in order]
-        lengths = np.array([len(x) for x in found], np.int64)
-        at = np.repeat(np.arange(len(found), dtype=np.int64), lengths)
-        keys = np.sort((np.concatenate(found).astype(np.int64) << 16) | at)
+        lengths = np.array([len(self.found[i]) for i in order], np.int64)
+        keys = np.concatenate([self.found[i] for i in order]).astype(np.int64)
+        self.found.clear()
+        keys <<= 16
+        keys |= np.repeat(np.arange(len(order), dtype=np.uint16), lengths)
+        keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         tf = np.diff(np.r_[first, len(keys)])
         term, doc = keys[first] >> 16, keys[first] & 0xFFFF
         # Blocks: runs of one term and one range of documents.
         block = keys[first] >> SHIFT
+        del keys, first
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
         entry = np.zeros(len(starts), BLOCK)
         if len(starts):

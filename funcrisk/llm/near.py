@@ -1,8 +1,11 @@
-"""Near copies by shared word shingles: prefix filtering finds every pair of at least 0.8 similarity, none by chance.
+"""Near copies by SimHash: fingerprints prune what meets in a rare shingle, whole sets confirm what is left.
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Shingles
 have one order for all texts, common ones last. A pair of that similarity shares a shingle among the first
-n - ceil(0.8 n) + 1 of each text's n, so these alone become join keys; what meets is confirmed on the whole sets.
+n - ceil(0.8 n) + 1 of each text's n, so these alone are join keys, and each carries its text's fingerprint. What meets is
+pruned by lengths, by places and by the ring of the fingerprints' segments, then by their full distance; only then sets
+move. Texts of that similarity differ in some 10 of 64 bits, 12 in sets of four and five, with a deviation of 3; other
+texts in 32 with one of 4: DISTANCE lies four deviations above the former.
 """
 
 from __future__ import annotations
@@ -17,11 +20,15 @@ from pyspark.sql import functions as F
 
 from funcrisk.llm import blocks as B
 from funcrisk.llm.common import keep, texts
-from funcrisk.llm.simhash import components
+from funcrisk.llm.simhash import components, rings_hold
 
 WIDTH, CHUNK, SLICE = 5, 1 << 18, 1 << 23
 #: A shingle in more texts than COMMON comes late in the order, the MOST_COMMON ones at most; any order is right.
 COMMON, MOST_COMMON = 64, 50_000
+#: Fingerprints of near copies differ in at most so many bits; for so many segments on the ring.
+DISTANCE, SEGMENTS = 24, 4
+#: Texts of one key and one block, of which two at a time are compared.
+GROUP = 4096
 CACHE_ENTRIES = 500_000
 U64 = np.uint64
 _words: dict[bytes, int] = {}
@@ -43,6 +50,14 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(name)
 
 
+def fingerprint(names: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the names of a text's shingles."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(names), CHUNK):
+        ones += np.unpackbits(names[lo:lo + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(names), bitorder="little").view(np.int64)[0])
+
+
 def least_shared(n: np.ndarray) -> np.ndarray:
     """The shingles of n that a near copy has at least."""
     return (4 * n + 4) // 5
@@ -75,88 +90,127 @@ def common_shingles(docs: DataFrame, common: int, most: int) -> np.ndarray:
 
 
 def prefix_keys(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, node, n, rest): the first shingles of each text, how many it has, and how many come after the key."""
+    """(key, node, fp, n, rest): the first shingles of each text, its fingerprint, how many it has, and how many come after the key."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in B.slices(batch["text"].str.len().to_numpy(), SLICE):
-                out = []
+                out, texts_ = [], []
                 for node, text in zip(batch["node"].iloc[a:b], batch["text"].iloc[a:b]):
                     names = shingles(text)
                     n = len(names)
                     late = np.zeros(n, bool)
                     if len(common):
                         late = common[np.minimum(np.searchsorted(common, names), len(common) - 1)] == names
-                    first = np.concatenate([names[~late], names[late]])[:n - int(least_shared(n)) + 1]
-                    out.append((first, np.full(len(first), node), np.full(len(first), n), n - 1 - np.arange(len(first))))
-                key, node, n, rest = map(np.concatenate, zip(*out))
-                yield pd.DataFrame({"key": key.view(np.int64), "node": node, "n": n.astype(np.int32), "rest": rest.astype(np.int32)})
+                    out.append(np.concatenate([names[~late], names[late]])[:n - int(least_shared(n)) + 1])
+                    texts_.append((node, fingerprint(names), n))
+                size = [len(x) for x in out]
+                node, fp, n = (np.repeat(np.array(x, np.int64), size) for x in zip(*texts_))
+                at = np.concatenate([np.arange(x) for x in size])
+                yield pd.DataFrame({"key": np.concatenate(out).view(np.int64), "node": node, "fp": fp, "n": n.astype(np.int32), "rest": (n - 1 - at).astype(np.int32)})
+
+    return docs.mapInPandas(emit, "key long, node long, fp long, n int, rest int")
+
+
+def may_be(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether texts (fp, n, rest) that first meet at this key can be similar: by what follows it in both, by the ring
+    of their fingerprints and by the bits in which these differ.
+
+    A pair is asked at each key that it shares; at the first one the bound on what follows holds.
+    """
+    n, m = x[1].astype(np.int64), y[1].astype(np.int64)
+    good = similar(1 + np.minimum(x[2], y[2]).astype(np.int64), n, m)
+    diff = (x[0][good] ^ y[0][good]).view(np.uint64)
+    near = rings_hold(diff, SEGMENTS, DISTANCE)
+    near[near] = np.bitwise_count(diff[near]) <= DISTANCE
+    good[good] = near
+    return good
+
 
-    return docs.mapInPandas(emit, "key long, node long, n int, rest int")
+def pairs_of(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by key, cut between keys."""
+def meet_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each key, rows sorted by (key, n, node): each text with the first one and with the one before it (a < b), and,
+    of keys with over three texts, their rows (b null), which have more pairs. Only the open key's first rows and its
+    last one are held."""
+    names = ["key", "node", "fp", "n", "rest"]
+    held, seen = None, 0
+    for batch in batches:
+        cols = [batch[c].to_numpy() for c in names]
+        old = 0
+        if held is not None and held[0][0] == cols[0][0]:
+            old, cols = len(held[0]), [np.concatenate(x) for x in zip(held, cols)]
+        key, node, *facts = cols
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+        total = size.copy()
+        total[0] += seen - old if old else 0
+        first = np.repeat(starts, size)
+        now = np.arange(len(key))
+        for other in (first, now - 1):
+            at = now[(now >= old) & (now > first) & ((other == first) | (now - 1 > first))]
+            at = at[node[at] != node[other[at]]]
+            at = at[may_be([x[at] for x in facts], [x[other[at]] for x in facts])]
+            if len(at):
+                yield pairs_of(node[at], node[other[at]]).assign(b=lambda x: x["b"].astype("Int64"), key=0, fp=0, n=0, rest=0)
+        # The first three go out with the fourth.
+        many = (np.repeat(total, size) > 3) & ((now >= old) | (now < 3) & (seen <= 3))
+        if many.any():
+            yield pd.DataFrame({"a": node[many], "b": pd.array([None] * int(many.sum()), "Int64"), "key": key[many], "fp": facts[0][many], "n": facts[1][many], "rest": facts[2][many]})
+        lo, seen = starts[-1], int(total[-1])
+        keep_ = np.unique(np.r_[np.arange(lo, min(lo + 3, len(key))), len(key) - 1])
+        held = [x[keep_] for x in cols]
+
+
+def cells(open_: DataFrame, group: int) -> DataFrame:
+    """Rows of keys whose texts have several labels, cut into blocks of about `group`: each goes to the cells, two blocks
+    of a key, that it belongs to, so that every pair shares one."""
+    several = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / group).cast("int").alias("blocks"))
+    rows = open_.join(several.filter("lo < hi").select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("a", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("own"), "block", "a", "label", "fp", "n", "rest")
+
+
+def whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by cell, cut between cells, which are of bounded size."""
     held: list[pd.DataFrame] = []
     for batch in batches:
-        key = batch["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left"))
+        cell = batch["cell"].to_numpy()
+        if held and held[-1]["cell"].iloc[-1] != cell[0]:
+            yield pd.concat(held)
+            held = []
+        cut = int(np.searchsorted(cell, cell[-1], "left"))
         if cut:
             yield pd.concat([*held, batch.iloc[:cut]])
             held = []
-        elif held and held[-1]["key"].iloc[-1] != key[0]:
-            yield pd.concat(held)
-            held = []
         held.append(batch.iloc[cut:])
     if held:
         yield pd.concat(held)
 
 
-def may_be(n: np.ndarray, m: np.ndarray, rest: np.ndarray, rest2: np.ndarray) -> np.ndarray:
-    """Whether two texts of n and m shingles that first meet at this key can be similar: by what follows it in both.
-
-    A pair is asked at each key that it shares; at the first one the bound holds.
-    """
-    return similar(1 + np.minimum(rest, rest2), n, m)
-
-
-def meet_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each key with several texts: each text with the smallest and the largest one (a < b), and, of keys with over
-    three, its rows (b null), which have more pairs."""
-    for rows in whole_keys(batches):
-        key, node, n, rest = (rows[c].to_numpy() for c in ("key", "node", "n", "rest"))
-        order = np.lexsort((node, key))
-        key, node, n, rest = key[order], node[order], n[order].astype(np.int64), rest[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        lo, hi, many = np.repeat(first, size), np.repeat(first + size - 1, size), np.repeat(size, size)
-        for end in (lo, hi):
-            at = np.flatnonzero((node != node[end]) & may_be(n, n[end], rest, rest[end]))
-            if len(at):
-                a, b = node[at], node[end[at]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "key": 0, "n": 0, "rest": 0}).drop_duplicates()
-        at = np.flatnonzero(many > 3)
-        if len(at):
-            yield pd.DataFrame({"a": node[at], "b": pd.array([None] * len(at), "Int64"), "key": key[at], "n": n[at], "rest": rest[at]})
-
-
 def meet_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each key all pairs (a < b) of texts in different components."""
-    for rows in whole_keys(batches):
-        key, node, n, rest, label = (rows[c].to_numpy() for c in ("key", "a", "n", "rest", "label"))
-        order = np.lexsort((node, key))
-        key, node, n, rest, label = key[order], node[order], n[order].astype(np.int64), rest[order].astype(np.int64), label[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        end = np.repeat(np.r_[first[1:], len(key)], np.diff(np.r_[first, len(key)]))
-        after = end - np.arange(len(key)) - 1
+    """Of each cell the pairs (a < b) of texts of different labels, and of different blocks where it has two."""
+    for rows in whole_cells(batches):
+        rows = rows.sort_values(["cell", "label"], kind="stable")
+        cell, own, block, node, label, *facts = (rows[c].to_numpy() for c in ("cell", "own", "block", "a", "label", "fp", "n", "rest"))
+        now = np.arange(len(cell))
+        ends = np.r_[np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+        runs = np.r_[np.flatnonzero((cell[1:] != cell[:-1]) | (label[1:] != label[:-1])) + 1, len(cell)]
+        # A text meets all that stand behind those of its label.
+        begin, end = runs[np.searchsorted(runs, now, "right")], ends[np.searchsorted(ends, now, "right")]
+        after = end - begin
         total = np.cumsum(after)
         lo = 0
-        while lo < len(key):
+        while lo < len(cell):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right")))
-            x = np.repeat(np.arange(lo, hi), after[lo:hi])
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.r_[0, np.cumsum(after[lo:hi])[:-1]], after[lo:hi])
-            good = (label[x] != label[y]) & (node[x] != node[y]) & may_be(n[x], n[y], rest[x], rest[y])
+            x = np.repeat(now[lo:hi], after[lo:hi])
+            y = np.repeat(begin[lo:hi], after[lo:hi]) + np.arange(len(x)) - np.repeat(np.r_[0, np.cumsum(after[lo:hi])[:-1]], after[lo:hi])
+            apart = own[x] | (block[x] != block[y])
+            x, y = x[apart], y[apart]
+            good = may_be([f[x] for f in facts], [f[y] for f in facts])
             if good.any():
-                yield pd.DataFrame({"a": node[x[good]], "b": node[y[good]]}).drop_duplicates()
+                yield pairs_of(node[x[good]], node[y[good]])
             lo = hi
 
 
@@ -184,7 +238,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long"), f"{name}-links")
 
 
-def near_copies(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON) -> DataFrame:
+def near_copies(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON, group: int = GROUP) -> DataFrame:
     """(node, label) of all rows of docs with a near copy: row_number() and the smallest one of its component.
 
     Links are pairs of at least 0.8; null text is empty. Texts that meet at a key are first tried with two of them; only
@@ -192,13 +246,13 @@ def near_copies(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON)
     """
     docs = texts(docs).withColumn("node", row_number())
     keys = prefix_keys(docs.select("node", "text"), common_shingles(docs, common, most))
-    met = keep(keys.repartition("key").sortWithinPartitions("key").mapInPandas(meet_first, "a long, b long, key long, n int, rest int"), "near-met")
+    sorted_ = keys.repartition("key").sortWithinPartitions("key", "n", "node")
+    met = keep(sorted_.mapInPandas(meet_first, "a long, b long, key long, fp long, n int, rest int"), "near-met")
     links = confirmed(met.filter("b is not null").select("a", "b"), docs, "near-first")
     label = components(links)
     open_ = met.filter("b is null").drop("b").join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = open_.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInPandas(meet_others, "a long, b long")
-    more = confirmed(rest, docs, "near-more")
+    dealt = cells(open_, group).repartition("cell").sortWithinPartitions("cell")
+    more = confirmed(dealt.mapInPandas(meet_others, "a long, b long"), docs, "near-more")
     label = components(links.unionByName(more)) if not more.isEmpty() else label
     # A component's smallest node has no row of its own there.
     return label.unionByName(label.select(F.col("label").alias("node"), "label").distinct())

@@ -61,11 +61,11 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("common", [64, 2])
-def test_all_near_copies_go(spark, planted, common, monkeypatch):
+@pytest.mark.parametrize("common,group", [(64, 4096), (2, 5)])
+def test_all_near_copies_go(spark, planted, common, group, monkeypatch):
     df = spark.createDataFrame([(i, t, "s") for i, t in planted], "doc_id long, text string, node string").repartition(3)
     whole = near.near_copies
-    monkeypatch.setattr(near, "near_copies", lambda docs: whole(docs, common))
+    monkeypatch.setattr(near, "near_copies", lambda docs: whole(docs, common, group=group))
     out = corpus_pipeline.near_stage(spark, df, "")
     assert out.columns == df.columns
     got, groups = {(x["doc_id"], x["text"]) for x in out.collect()}, kept(planted)
