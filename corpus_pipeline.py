@@ -14,38 +14,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the verdict is a projection over the row, so nothing moves."""
-    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    """Rejected documents go; the verdict is a projection over the row, so nothing moves. A null text has no words and is
+    rejected; other columns, of any name, come along."""
+    whole = whole_rows(docs).drop("doc_id")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = quality.text_metrics(whole).withColumns({"_verdict": ~failed & quality.passes(quality.RULES), "_number": F.monotonically_increasing_id()})
     # The number keeps the filter above the projection: pushed below it, each metric would be worked out once per use.
     return judged.filter(F.col("_verdict") & (F.col("_number") >= 0)).select("_row.*")
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """_row, doc_id and text (null as empty): all columns travel as one, so that none clashes with a stage's own."""
+    return docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; rows that repeat id and text are one document."""
+    """Of equal texts the row with the largest doc_id stays; rows that repeat id and text are one document. A null id is
+    the smallest, a null text is empty; other columns, of any name, come along."""
     stay = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    text = common.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    found = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(text, 256) == F.col("_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    rows = whole_rows(docs)
+    found = rows.join(stay, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(common.ascii_lower(F.col("text")), 256) == F.col("_sha")), "left_semi")
+    return found.dropDuplicates(["doc_id", "text"]).select("_row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, texts of 0.8 shingle similarity, one row stays: that of the smallest doc_id, null
-    ids last, then by text."""
+    ids last, then by text. Candidates are pruned by their SimHash fingerprints. A null text is empty; other columns, of
+    any name, come along."""
     label = common.keep(near.near_copies(docs), "near")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", near.row_number().alias("node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     placed = common.keep(rows.join(label, "node").select("label", order.alias("order"), "node"), "near-rows")
     first = placed.groupBy("label").agg(F.min("order").getField("node").alias("first"))
     gone = common.keep(placed.join(first, "label").filter("node != first").select("node").distinct(), "near-gone")
-    named = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return named.withColumn("node", near.row_number()).join(gone, "node", "left_anti").select("_row.*")
+    return whole_rows(docs).withColumn("node", near.row_number()).join(gone, "node", "left_anti").select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document at least once; those of sources with a raised weight again, as far as the weights ask."""
-    return mixing.mix(docs, mixing.Target(repeats=1.25)).select(*[f"`{c}`" for c in docs.columns])
+    """Each document at least once; those of sources with a raised weight again, as far as the weights ask. Null sources
+    are one source; columns may have any name."""
+    return mixing.mix_rows(docs, mixing.Target(repeats=1.25)).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
