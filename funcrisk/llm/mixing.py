@@ -31,13 +31,13 @@ class Target:
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with _source (null is a source of its own), _tokens (words), _hash (place in the last pass) and _bucket (its first bits)."""
+    """_row (all columns of docs), doc_id, _source (null is a source of its own), _tokens (words), _hash (place in the last
+    pass) and _bucket (its first bits)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({
-        "_source": F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")),
-        "_tokens": F.size(split_words(text)).cast("long"),
-        "_hash": F.xxhash64(F.lit(seed), F.lit(0), F.col("doc_id"), text),
-    }).withColumn("_bucket", F.shiftrightunsigned("_hash", 52).cast("int"))
+    return docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "doc_id", F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("_source"),
+        F.size(split_words(text)).cast("long").alias("_tokens"), F.xxhash64(F.lit(seed), F.lit(0), F.col("doc_id"), text).alias("_hash"),
+    ).withColumn("_bucket", F.shiftrightunsigned("_hash", 52).cast("int"))
 
 
 def solve_exponent(sources: DataFrame, target: Target) -> float:
@@ -89,8 +89,9 @@ def weigh(sources: DataFrame, exponent: float, budget: int | None) -> DataFrame:
     return sources.withColumn("weight", weight).withColumn("passes", passes).withColumn("extra", F.when(extra > 1e-6 * F.col("tokens"), extra).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as its source's weight asks, with _weight, _pass (from 0) and _order (place in that pass's permutation).
+def mix_rows(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """Each row of docs, whole in _row, as often as its source's weight asks, with _tokens, _weight, _pass (from 0) and
+    _order (place in that pass's permutation). Columns of docs may have any name.
 
     Weights are source token shares to a power that is bisected to meet the target. A source's share of the budget
     is shown in blocks: whole passes over all its rows, each in an order of its own, then a pass that ends where the
@@ -118,7 +119,13 @@ def mix(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int | No
     shown = decided.unionByName(border).withColumn("_copies", F.col("_passes") + F.col("_last").cast("int")).filter("_copies > 0")
     out = shown.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     place = F.when(F.col("_pass") == F.col("_passes"), F.col("_hash")).otherwise(F.xxhash64(F.lit(seed), F.col("_pass") + 1, F.col("_hash")))
-    return out.withColumn("_order", place).select(*[f"`{c}`" for c in docs.columns], "_tokens", "_weight", "_pass", "_order")
+    return out.withColumn("_order", place).select("_row", "_tokens", "_weight", "_pass", "_order")
+
+
+def mix(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """mix_rows with the columns of docs beside _tokens, _weight, _pass and _order; a column of docs of such a name is left out."""
+    added = ("_tokens", "_weight", "_pass", "_order")
+    return mix_rows(docs, target, budget, seed).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def mixture(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int | None = None) -> DataFrame:

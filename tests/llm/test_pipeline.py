@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 import test_operators as plain
+from test_near import kept
 from pyspark.sql import functions as F
 
 from funcrisk.llm import common, quality
@@ -48,8 +49,8 @@ def survivors(rows):
         low = x.translate(plain.AZ)
         last[low] = max((k, x), last.get(low, (k, x)))
     exact = sorted(set(last.values()))
-    group = plain.plain_components({k: plain.plain_fingerprint(x) for k, x in exact})
-    return [sorted(good), exact, [(k, x) for k, x in exact if group[k] == k]]
+    near = [min(group) for group in kept(exact).values()]
+    return [sorted(good), exact, sorted(near)]
 
 
 def ids_of(df):
@@ -114,3 +115,14 @@ def test_run_on_no_rows(spark, small, tmp_path):
     small.filter(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
+
+
+def test_columns_of_any_name_pass_all_stages(spark, small):
+    """Names that stages use for themselves; each keeps its values."""
+    names = ["_tokens", "_bucket", "_pass", "_order", "_hash", "_source", "_weight", "_id", "_sha", "_row", "_verdict", "_number", "node", "label", "key"]
+    docs = small.limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, ""), f"test-{name}")
+        assert docs.columns == [*small.columns, *names]
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
