@@ -107,15 +107,20 @@ def mix_rows(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int
     sources = buckets.groupBy("_source").agg(F.sum("n").alias("tokens"))
     weighed = weigh(sources, solve_exponent(sources, target), budget)
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    table = (
+    # Buckets up to a source's border are in its last pass, those behind it are not: one row a source tells all.
+    behind = (
         buckets.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(weighed, "_source")
-        .withColumn("state", F.when(F.col("before") >= F.col("extra"), F.lit(0)).when(F.col("before") + F.col("n") <= F.col("extra"), F.lit(1)).otherwise(F.lit(2)))
-        .select("_source", "_bucket", F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), F.col("extra").alias("_extra"), F.col("before").alias("_before"), F.col("state").alias("_state"))
+        .filter((F.col("before") >= F.col("extra")) | (F.col("before") + F.col("n") > F.col("extra")))
+        .groupBy("_source").agg(F.min(F.struct(F.col("_bucket").alias("border"), "before")).alias("b"))
     )
-    met = rows.join(table, ["_source", "_bucket"])
+    table = weighed.join(behind, "_source", "left").select(
+        "_source", F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), F.col("extra").alias("_extra"),
+        F.coalesce("b.border", F.lit(BUCKETS)).alias("_border"), F.coalesce("b.before", F.lit(0)).alias("_before"))
+    met = rows.join(table, "_source")
     order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    decided = met.filter("_state < 2").withColumn("_last", F.col("_state") == 1)
-    border = met.filter("_state = 2").withColumn("_last", F.col("_before") + F.coalesce(F.sum("_tokens").over(order), F.lit(0)) < F.col("_extra"))
+    ordered = (F.col("_bucket") == F.col("_border")) & (F.col("_before") < F.col("_extra"))
+    decided = met.filter(~ordered).withColumn("_last", F.col("_bucket") < F.col("_border"))
+    border = met.filter(ordered).withColumn("_last", F.col("_before") + F.coalesce(F.sum("_tokens").over(order), F.lit(0)) < F.col("_extra"))
     shown = decided.unionByName(border).withColumn("_copies", F.col("_passes") + F.col("_last").cast("int")).filter("_copies > 0")
     out = shown.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     place = F.when(F.col("_pass") == F.col("_passes"), F.col("_hash")).otherwise(F.xxhash64(F.lit(seed), F.col("_pass") + 1, F.col("_hash")))
