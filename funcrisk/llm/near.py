@@ -29,6 +29,8 @@ COMMON, MOST_COMMON = 64, 50_000
 DISTANCE, SEGMENTS = 24, 4
 #: Texts of one key and one block, of which two at a time are compared.
 GROUP = 4096
+#: Texts of a block that all of it is tried with before its pairs are tried one by one.
+PROBES = 16
 CACHE_ENTRIES = 500_000
 U64 = np.uint64
 _words: dict[bytes, int] = {}
@@ -189,6 +191,23 @@ def whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
+def meet_some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each cell the pairs (a < b) of different labels with one of PROBES texts, the first by a scramble of their names,
+    so that keys of the same texts ask about the same pairs."""
+    for rows in whole_cells(batches):
+        cell, node, label, *facts = (rows[c].to_numpy() for c in ("cell", "a", "label", "fp", "n", "rest"))
+        order = np.lexsort((B.mixed(node.view(U64)), cell))
+        cell, node, label, *facts = (x[order] for x in (cell, node, label, *facts))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        first, now = np.repeat(starts, np.diff(np.r_[starts, len(cell)])), np.arange(len(cell))
+        for k in range(PROBES):
+            at = now[now > first + k]
+            at = at[label[at] != label[first[at] + k]]
+            at = at[may_be([x[at] for x in facts], [x[first[at] + k] for x in facts])]
+            if len(at):
+                yield pairs_of(node[at], node[first[at] + k])
+
+
 def meet_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each cell the pairs (a < b) of texts of different labels, and of different blocks where it has two."""
     for rows in whole_cells(batches):
@@ -241,18 +260,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 def near_copies(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON, group: int = GROUP) -> DataFrame:
     """(node, label) of all rows of docs with a near copy: row_number() and the smallest one of its component.
 
-    Links are pairs of at least 0.8; null text is empty. Texts that meet at a key are first tried with two of them; only
-    pairs that this leaves in different components are tried one by one, so a group of near copies costs few pairs.
+    Links are pairs of at least 0.8; null text is empty. Texts that meet at a key are first tried with two of them, then with
+    PROBES; only pairs that this leaves in different components are tried one by one, so a group of near copies costs few.
     """
     docs = texts(docs).withColumn("node", row_number())
     keys = prefix_keys(docs.select("node", "text"), common_shingles(docs, common, most))
     sorted_ = keys.repartition("key").sortWithinPartitions("key", "n", "node")
     met = keep(sorted_.mapInPandas(meet_first, "a long, b long, key long, fp long, n int, rest int"), "near-met")
     links = confirmed(met.filter("b is not null").select("a", "b"), docs, "near-first")
-    label = components(links)
-    open_ = met.filter("b is null").drop("b").join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    dealt = cells(open_, group).repartition("cell").sortWithinPartitions("cell")
-    more = confirmed(dealt.mapInPandas(meet_others, "a long, b long"), docs, "near-more")
-    label = components(links.unionByName(more)) if not more.isEmpty() else label
+    label, heavy = components(links), met.filter("b is null").drop("b")
+    for meet, name in ((meet_some, "near-some"), (meet_others, "near-more")):
+        open_ = heavy.join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        dealt = cells(open_, group)
+        dealt = dealt.filter("own") if meet is meet_some else dealt
+        more = confirmed(dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(meet, "a long, b long"), docs, name)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = components(links)
     # A component's smallest node has no row of its own there.
     return label.unionByName(label.select(F.col("label").alias("node"), "label").distinct())
