@@ -320,9 +320,18 @@ def assign_labels(spark, sf):
     return plain(L.assign_labels(V.v_functions(spark, sf), V.v_label_rows(spark, sf)))
 
 
-@query("J9")
+# The functions of an image one after the other: each takes the lowest of its rows that none before it took.
+@query("J9", f"""WITH RECURSIVE c AS (SELECT f.firmware_id, f.func_ordinal, f.func_id, list(DISTINCT r.row_idx ORDER BY r.row_idx) AS cand,
+    row_number() OVER (PARTITION BY f.firmware_id ORDER BY f.func_ordinal) AS n
+  FROM v_functions f JOIN v_label_rows r ON {_FW} AND (r.func_id = f.func_id OR r.function_name = f.name OR r.address = f.address_int OR {_LINE}) GROUP BY 1, 2, 3),
+  w(firmware_id, func_id, n, used, got) AS (
+    SELECT firmware_id, func_id, n, cand[:1], cand[1] FROM c WHERE n = 1 UNION ALL
+    SELECT firmware_id, func_id, n, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, got FROM (
+      SELECT c.firmware_id, c.func_id, c.n, w.used, list_filter(c.cand, lambda x: NOT list_contains(w.used, x))[1] AS got
+      FROM w JOIN c ON c.firmware_id = w.firmware_id AND c.n = w.n + 1))
+  SELECT w.firmware_id, w.func_id, w.got AS row_idx, array_to_string(r.cwe_list, ',') AS cwe FROM w JOIN v_label_rows r ON r.row_idx = w.got""")
 def assign_labels_all_keys(spark, sf):
-    """Rows that carry several keys at once, so that the walk through an image is needed."""
+    """Rows that carry several keys at once, so that functions compete for rows over several keys."""
     return plain(L.assign_labels(V.v_functions(spark, sf), V.v_label_rows(spark, sf, all_keys=True)))
 
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funcrisk import constants as C
 from funcrisk.functions.answers import parse_cwe_answer
 from funcrisk.functions.text import empty_strings
+from funcrisk.operators.matching import NUMBER_BITS, lowest_rows
 from funcrisk.operators.rules import broad_rules, labelable, rule_matches, signal_rules, with_haystack
 from funcrisk.scale import cut_lineage, number_rows
 
@@ -25,8 +25,8 @@ from funcrisk.scale import cut_lineage, number_rows
 LINE_SLACK = 2
 # Line numbers that share all but this many low bits are compared together.
 LINE_BITS = 8
-# Rows numbered together inside a key.
-NUMBER_BITS = 14
+# Characters of the pieces by which texts that contain others are found.
+PIECE = 3
 RULES = ["id", "name", "addr", "line"]
 
 
@@ -85,27 +85,51 @@ def function_keys(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     return plain.unionByName(by_line)
 
 
-def firmware_matches(functions: DataFrame, fw_texts: DataFrame) -> DataFrame:
-    """(firmware_id, fw) where either text contains the other, ignoring case.
+def _pieces(text: Column, most: int) -> Column:
+    """Parts of the text of up to `most` characters, each once."""
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
 
-    An image goes by firmware_stem where the functions carry one, else by firmware_id.
 
-    Each side's distinct texts are cut into all their parts, which then meet on equality.
+def containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): texts of the column inner inside texts of the column outer; both hold different, non-empty texts.
+
+    All pieces of up to PIECE characters index the outer texts. An inner text asks by the rarest of its own pieces and is
+    then looked for in what it meets.
     """
-    def parts(text: Column) -> Column:
-        every = lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n)
-        )
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), every)))
+    index = outer.select("outer", F.explode(_pieces(F.col("outer"), PIECE)).alias("piece"))
+    known = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    width = F.least(F.lit(PIECE), F.length("inner"))
+    own = F.transform(F.sequence(F.lit(1), F.length("inner") - width + 1), lambda i: F.substring("inner", i, width))
+    asked = inner.select("inner", F.explode(F.array_distinct(own)).alias("piece")).join(known, "piece", "left")
+    rarest = asked.groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).filter("r.n > 0")
+    met = rarest.select("inner", F.col("r.piece").alias("piece")).join(index, "piece")
+    return met.filter(F.contains("outer", "inner")).select("inner", "outer")
 
+
+def firmware_matches(functions: DataFrame, fw_texts: DataFrame) -> DataFrame:
+    """(firmware_id, fw) where either text contains the other, ignoring case.
+
+    An image goes by firmware_stem where the functions carry one, else by firmware_id. Different stems and different texts
+    meet, once each way; images come in after that.
+    """
     known_as = "firmware_stem" if "firmware_stem" in functions.columns else "firmware_id"
-    ids = functions.select("firmware_id", F.lower(known_as).alias("_id")).distinct()
-    texts = fw_texts.select("fw").filter(F.col("fw").isNotNull()).distinct()
-    text_in_id = ids.filter(F.col("_id") != "").select("firmware_id", F.explode(parts(F.col("_id"))).alias("fw")).join(texts, "fw")
-    id_in_text = (
-        texts.select("fw", F.explode(parts(F.col("fw"))).alias("_id")).join(ids, "_id").select("firmware_id", "fw")
-    )
-    return text_in_id.select("firmware_id", "fw").unionByName(id_in_text).distinct()
+    ids = functions.select("firmware_id", F.lower(known_as).alias("stem")).distinct()
+    stems = ids.select("stem").filter("stem != ''").distinct()
+    texts = fw_texts.select("fw").filter("fw != ''").distinct()
+    of_stems, of_texts = ({k: x.select(F.col(c).alias(k)) for k in ("inner", "outer")} for x, c in ((stems, "stem"), (texts, "fw")))
+    text_in_stem = containments(of_texts["inner"], of_stems["outer"]).select(F.col("outer").alias("stem"), F.col("inner").alias("fw"))
+    stem_in_text = containments(of_stems["inner"], of_texts["outer"]).select(F.col("inner").alias("stem"), F.col("outer").alias("fw"))
+    return ids.join(text_in_stem.unionByName(stem_in_text).distinct(), "stem").select("firmware_id", "fw").distinct()
+
+
+def named_keys(functions: DataFrame, present: DataFrame, rkeys: DataFrame) -> DataFrame:
+    """(firmware_id, fw, key): keys of rows that name an image, in the images that they mean and that have the key."""
+    asked = rkeys.filter(F.col("fw").isNotNull()).select("fw", "key").distinct().join(present.select("key").distinct(), "key", "left_semi")
+    images = firmware_matches(functions, asked.select("fw"))
+    return asked.join(images, "fw").join(present, ["firmware_id", "key"], "left_semi").select("firmware_id", "fw", "key")
 
 
 def usable_rows(functions: DataFrame, fkeys: DataFrame, rkeys: DataFrame) -> DataFrame:
@@ -115,11 +139,7 @@ def usable_rows(functions: DataFrame, fkeys: DataFrame, rkeys: DataFrame) -> Dat
     with a key: an image never uses up more rows than that.
     """
     present = fkeys.select("firmware_id", "key").distinct()
-    images = firmware_matches(functions, rkeys.select("fw"))
-    named = (
-        rkeys.filter(F.col("fw").isNotNull()).join(images, "fw")
-        .join(present, ["firmware_id", "key"], "left_semi").select("firmware_id", "key", "row_idx")
-    )
+    named = rkeys.join(named_keys(functions, present, rkeys), ["fw", "key"]).select("firmware_id", "key", "row_idx")
     most = (
         fkeys.groupBy("firmware_id").agg(F.count_distinct("func_ordinal").alias("n"))
         .agg(F.coalesce(F.max("n"), F.lit(0)))
@@ -140,13 +160,12 @@ def label_candidates(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     """
     rkeys = row_keys(label_rows)
     fkeys = function_keys(functions, label_rows)
-    images = firmware_matches(functions, rkeys.select("fw"))
     present = fkeys.select("firmware_id", "key").distinct()
     sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
     per_text = rkeys.groupBy("fw", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first")
     )
-    named = per_text.filter(F.col("fw").isNotNull()).join(images, "fw").select("firmware_id", "key", "n", "first")
+    named = per_text.join(named_keys(functions, present, rkeys), ["fw", "key"]).select("firmware_id", "key", "n", "first")
     general = per_text.filter(F.col("fw").isNull()).join(present, "key").select("firmware_id", "key", "n", "first")
     per_key = named.unionByName(general).groupBy("firmware_id", "key").agg(*sums)
     rule = F.substring_index("key", ":", 1)
@@ -161,41 +180,13 @@ def label_candidates(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(functions: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """One image: functions in order take the first unused row under any of their keys."""
-    queues = {k: g.sort_values("row_idx")["row_idx"].tolist() for k, g in rows.groupby("key")}
-    heads = dict.fromkeys(queues, 0)
-    used: set[int] = set()
-    out = []
-    for (ordinal, func_id), group in functions.sort_values("func_ordinal").groupby(
-        ["func_ordinal", "func_id"], sort=True
-    ):
-        best = None
-        for key in group["key"]:
-            queue = queues.get(key, ())
-            while heads.get(key, 0) < len(queue) and queue[heads[key]] in used:
-                heads[key] += 1
-            if heads.get(key, 0) < len(queue) and (best is None or queue[heads[key]] < best):
-                best = queue[heads[key]]
-        if best is not None:
-            used.add(best)
-            out.append((ordinal, func_id, best))
-    return pd.DataFrame(out, columns=["func_ordinal", "func_id", "row_idx"])
-
-
-def _greedy_image(key, functions: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    matched = _greedy(functions, rows)
-    matched.insert(0, "firmware_id", key[0])
-    return matched
-
-
 def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     """(firmware_id, func_ordinal, func_id, row_idx): who takes which sheet row.
 
     Functions of an image take, in order, the lowest unused row that matches them. Where the
     functions and rows under a key have no other key, the n-th function takes the n-th row, which
-    is a numbering on both sides. Only the entangled rest is walked in sequence, image by image;
-    an image has at most max_functions functions, and under each key no more rows than functions.
+    is a numbering on both sides. The entangled rest settles in rounds (matching.lowest_rows); no image
+    is one task's work. func_ordinal numbers the functions of an image, each once.
     """
     fkeys = cut_lineage(function_keys(functions, label_rows).distinct())
     usable = cut_lineage(usable_rows(functions, fkeys, row_keys(label_rows)).distinct())
@@ -220,22 +211,12 @@ def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     if tangled_keys.isEmpty():
         return plain
 
-    rest_f = live.join(tangled_keys, by, "left_semi")
-    room = rest_f.groupBy("firmware_id").agg(F.count_distinct("func_ordinal").alias("_room"))
-    rest_r = number_rows(
-        usable.join(tangled_keys, by, "left_semi"), by,
-        F.shiftright("row_idx", NUMBER_BITS), [F.col("row_idx")], "_n",
-    ).join(room, "firmware_id").filter(F.col("_n") <= F.col("_room")).select(
-        F.col("firmware_id").alias("image"), "key", "row_idx"
-    )
-    walked = (
-        rest_f.groupBy("firmware_id")
-        .cogroup(rest_r.groupBy("image"))
-        .applyInPandas(
-            _greedy_image, "firmware_id string, func_ordinal bigint, func_id string, row_idx bigint"
-        )
-    )
-    return plain.unionByName(walked)
+    rest_f = live.join(tangled_keys, by, "left_semi").withColumn("member", F.col("func_ordinal").cast("bigint"))
+    rest_r = usable.join(tangled_keys, by, "left_semi").withColumn("member", F.col("row_idx").cast("bigint"))
+    pairs = lowest_rows(rest_f.select(*by, "member"), rest_r.select(*by, "member"))
+    who = rest_f.select("firmware_id", "func_ordinal", "func_id", F.col("member").alias("function")).distinct()
+    entangled = who.join(pairs, ["firmware_id", "function"]).select("firmware_id", "func_ordinal", "func_id", F.col("row").alias("row_idx"))
+    return plain.unionByName(entangled)
 
 
 def assign_labels(functions: DataFrame, label_rows: DataFrame) -> DataFrame:

@@ -28,14 +28,20 @@ def test_targets_symbols_and_addresses(spark):
     assert calls(spark, None) == [] and calls(spark, "") == []
 
 
-def test_at_most_64_names_and_then_hints(spark):
+def test_all_names_and_then_hints(spark):
     asm = "\n".join(f"call8 f{i:03d}" for i in range(80))
     found = one(spark, K.all_calls(F.col("a"), F.col("n")), a=asm, n="WIFI_json_strcpy")
-    assert found[:64] == [f"f{i:03d}" for i in range(64)]
-    assert found[64:] == ["strcpy", "json", "wifi"]
+    assert found == [f"f{i:03d}" for i in range(80)] + ["strcpy", "json", "wifi"]
     assert one(spark, K.all_calls(F.col("a"), F.col("n")), a="call8 strcpy", n="my_strcpy") == ["strcpy"]
 
 
+def test_at_most_64_names_where_the_caller_says_so(spark):
+    asm = "\n".join(f"call8 f{i:03d}" for i in range(80))
+    names = K.calls_from_asm(F.col("a"), max_calls=64)
+    assert one(spark, names, a=asm) == [f"f{i:03d}" for i in range(64)]
+    assert one(spark, K.with_name_hints(names, F.col("n")), a=asm, n="WIFI_json_strcpy")[64:] == ["strcpy", "json", "wifi"]
+
+
 def test_extension_ignores_case_of_known_calls(spark):
     got = one(spark, K.extend_calls(F.col("c"), F.col("a")), c=["STRCPY", "x"], a="strcpy snprintf")
     assert got == ["STRCPY", "x", "snprintf"]

@@ -89,3 +89,48 @@ def test_safe_rows_are_used_up_without_a_label(spark):
     got = {x["func_id"]: x["cwe"] for x in sheet.collect()}
     assert got == {"func_001": [], "func_002": ["CWE-UNKNOWN"], "func_003": ["CWE-5"]}
     assert [x["func_id"] for x in L.label_gaps(f, sheet).collect()] == ["func_001"]
+
+
+def test_rounds_equal_the_walk_on_dense_graphs(spark):
+    """Few keys, so that nearly all functions and rows compete."""
+    from funcrisk.operators import matching
+
+    for seed in (1, 2):
+        r = random.Random(seed)
+        sides = [[(image, f"k{r.randrange(6)}", i) for image in ("a", "b") for i in range(7) for _ in range(r.randrange(1, 4))] for _ in range(2)]
+        f, w = (spark.createDataFrame(x, "firmware_id string, key string, member bigint") for x in sides)
+        want = set()
+        for image in ("a", "b"):
+            used = set()
+            for i in sorted({m for g, _, m in sides[0] if g == image}):
+                keys = {k for g, k, m in sides[0] if (g, m) == (image, i)}
+                left = sorted({m for g, k, m in sides[1] if g == image and k in keys} - used)
+                if left:
+                    used.add(left[0])
+                    want.add((image, i, left[0]))
+        assert {tuple(x) for x in matching.lowest_rows(f, w).collect()} == want
+    none = f.filter("member < 0")
+    assert matching.lowest_rows(none, w).collect() == matching.lowest_rows(f, none).collect() == []
+
+
+def test_an_image_of_100000_entangled_functions(spark):
+    """One name for all and a second key for two thirds; one row has lost the name, so all behind it move up by one."""
+    from pyspark.sql import functions as F
+
+    from funcrisk.operators import matching
+
+    n, lost = 100_000, 60_000
+    ids = spark.range(n).select(F.lit("hot").alias("firmware_id"), F.col("id").alias("member"))
+    names = ids.withColumn("key", F.lit("name:main"))
+    own = ids.filter("member % 3 > 0").withColumn("key", F.concat(F.lit("id:"), F.col("member").cast("string")))
+    rows = names.filter(F.col("member") != lost).unionByName(own)
+    got = {x["function"]: x["row"] for x in matching.lowest_rows(names.unionByName(own), rows).collect()}
+    assert got == {i: i if i < lost else i + 1 for i in range(n - 1)}
+
+
+def test_containments(spark):
+    r = random.Random(9)
+    outer = {"".join(r.choice("abAB-") for _ in range(r.randrange(1, 12))) for _ in range(60)} | {"x" * 3000 + "needle" + "y" * 3000}
+    inner = {"".join(r.choice("abAB-") for _ in range(r.randrange(1, 5))) for _ in range(60)} | {"needle", "xxxxneedle", "zz"}
+    f = L.containments(spark.createDataFrame([(x,) for x in inner], "inner string"), spark.createDataFrame([(x,) for x in outer], "outer string"))
+    assert {tuple(x) for x in f.collect()} == {(a, b) for a in inner for b in outer if a in b}
