@@ -158,8 +158,8 @@ def label_candidates(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     Rows are counted per image and key before they meet the functions, so the pairs of a key that
     many rows and functions share are never formed.
     """
-    rkeys = row_keys(label_rows)
-    fkeys = function_keys(functions, label_rows)
+    rkeys = cut_lineage(row_keys(label_rows))
+    fkeys = cut_lineage(function_keys(functions, label_rows))
     present = fkeys.select("firmware_id", "key").distinct()
     sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
     per_text = rkeys.groupBy("fw", "key").agg(
@@ -189,7 +189,7 @@ def match_rows(functions: DataFrame, label_rows: DataFrame) -> DataFrame:
     is one task's work. func_ordinal numbers the functions of an image, each once.
     """
     fkeys = cut_lineage(function_keys(functions, label_rows).distinct())
-    usable = cut_lineage(usable_rows(functions, fkeys, row_keys(label_rows)).distinct())
+    usable = cut_lineage(usable_rows(functions, fkeys, cut_lineage(row_keys(label_rows))).distinct())
     live = fkeys.join(usable.select("firmware_id", "key").distinct(), ["firmware_id", "key"], "left_semi")
     tangled_f = live.groupBy("firmware_id", "func_ordinal").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     tangled_r = usable.groupBy("firmware_id", "row_idx").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
