@@ -15,6 +15,8 @@ from funcrisk.scale import join_per_key
 
 # Addresses that share all but this many low bits are looked up together.
 BUCKET_BITS = 12
+# Lines of a file that are held together.
+BLOCK_LINES = 256
 
 
 def asof_line(
@@ -196,22 +198,47 @@ def resolve_source(functions: DataFrame, roots: DataFrame, files: DataFrame) ->
         .groupBy("firmware_id", "source_file")
         .agg(F.min_by("path", "_priority").alias("resolved_source_path"))
     )
-    return functions.join(resolved, ["firmware_id", "source_file"], "left")
+    # Functions without a file have a key of their own, so that those of one image stay spread.
+    at = F.coalesce("source_file", _lone_key())
+    return functions.withColumn("_at", at).join(resolved.withColumnRenamed("source_file", "_at"), ["firmware_id", "_at"], "left").drop("_at")
+
+
+def _lone_key() -> Column:
+    return F.concat(F.lit("\0"), F.xxhash64(*C.KEY).cast("string"))
+
+
+def line_blocks(source_files: DataFrame) -> DataFrame:
+    """(path, block, lines): files cut into blocks of BLOCK_LINES lines, numbered from 0."""
+    count = F.ceil(F.size("lines") / BLOCK_LINES).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice("lines", (i - 1) * BLOCK_LINES + 1, F.lit(BLOCK_LINES)))
+    return source_files.filter(F.size("lines") > 0).select("path", F.posexplode(cut).alias("block", "lines"))
+
+
+def line_windows(asked: DataFrame, source_files: DataFrame) -> DataFrame:
+    """asked (path, lo, hi; 1-based, inside the file) with lines: each different window meets its blocks once."""
+    first, last = (F.floor((F.col(c) - 1) / BLOCK_LINES).cast("int") for c in ("lo", "hi"))
+    parts = asked.distinct().filter("lo <= hi").withColumn("block", F.explode(F.sequence(first, last)))
+    met = join_per_key(parts, line_blocks(source_files), ["path", "block"])
+    before = F.col("block") * BLOCK_LINES
+    begin, end = F.greatest(F.col("lo"), before + 1), F.least(F.col("hi"), before + BLOCK_LINES)
+    piece = F.struct("block", F.slice("lines", begin - before, end - begin + 1).alias("lines"))
+    found = met.select("path", "lo", "hi", piece.alias("piece")).groupBy("path", "lo", "hi").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    return found.select("path", "lo", "hi", F.flatten("pieces.lines").alias("lines"))
 
 
 def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) -> DataFrame:
     """The functions with source_snippet, null where no source file is recorded.
 
-    source_files holds one row per file with all its lines, so a function meets one row and takes
-    its window from the array; nothing is exploded or regrouped. Functions without a file get a key of
-    their own, so that they stay spread.
+    source_files holds one row per file with all its lines. Files are cut into blocks of lines before anything meets
+    them: a function first meets its file's length, then its own window of lines, never a whole file. Functions without
+    a file get a key of their own, so that they stay spread.
     """
     start = F.greatest(F.lit(1), F.coalesce(F.col("line_start"), F.lit(1))).cast("int")
     end = F.greatest(start, F.coalesce(F.col("line_end"), F.lit(1))).cast("int")
     lo = F.greatest(F.lit(1), start - context)
-    count = F.greatest(F.lit(0), F.least(end + context, F.size("lines")) - lo + 1)
+    hi = F.least(end + context, F.col("_size"))
     rows = F.transform(
-        F.slice("lines", lo, count),
+        F.coalesce(F.col("_lines"), F.array().cast("array<string>")),
         lambda text, i: F.struct(
             (lo + i).alias("number"), text.alias("text"),
             (lo + i).between(start, end).alias("in_function"),
@@ -219,7 +246,7 @@ def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) ->
         ),
     )
     none = F.array().cast("array<struct<number:int,text:string,in_function:boolean,highlight:boolean>>")
-    found = F.col("lines").isNotNull()
+    found = F.col("_size").isNotNull()
     snippet = F.struct(
         "source_file",
         F.when(found, F.col("resolved_source_path")).alias("resolved_path"),
@@ -230,10 +257,14 @@ def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) ->
         F.when(found, rows).otherwise(none).alias("lines"),
         F.when(~found, F.lit("source_file_not_found")).alias("error"),
     )
-    files = source_files.select(F.col("path").alias("_at"), "lines")
-    at = F.coalesce("resolved_source_path", F.concat(F.lit("\0"), F.xxhash64(*C.KEY).cast("string")))
+    sizes = source_files.filter(F.col("lines").isNotNull()).select(F.col("path").alias("_at"), F.size("lines").alias("_size"))
+    at = F.coalesce("resolved_source_path", _lone_key())
+    placed = functions.withColumn("_at", at).join(sizes, "_at", "left").withColumns({"_lo": lo, "_hi": hi})
+    asked = placed.filter(found).select(F.col("_at").alias("path"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    windows = line_windows(asked, source_files).select(*[F.col(c).alias(f"_{n}") for c, n in (("path", "at"), ("lo", "lo"), ("hi", "hi"), ("lines", "lines"))])
+    # A function without a file has no window either; its own key stands in for the null.
     return (
-        functions.withColumn("_at", at).join(files, "_at", "left")
+        placed.withColumn("_hi", F.coalesce("_hi", F.lit(0))).join(windows, ["_at", "_lo", "_hi"], "left")
         .withColumn("source_snippet", F.when(F.col("source_file").isNotNull(), snippet))
-        .drop("_at", "lines")
+        .drop("_at", "_lo", "_hi", "_size", "_lines")
     )

@@ -93,3 +93,20 @@ def test_root_map_last_writer_and_key_order(spark):
         "firmware_id string, path string, given_path string, name string, stem string, parent string")
     got = {r["firmware_id"]: r["roots"] for r in S.roots_for_images(manifest, root_map).collect()}
     assert got == {"1": ["/one"], "2": ["/two"], "3": ["/one"], "4": None}
+
+
+def test_windows_over_blocks_of_a_hot_file(spark):
+    """Many functions in one long file, windows across block borders, at its end and behind it."""
+    lines = [f"line {i}" for i in range(1, 1001)]
+    files = spark.createDataFrame([("hot.c", lines), ("empty.c", []), ("other.c", ["only"])], "path string, lines array<string>")
+    starts = [1, 2, 250, 256, 257, 500, 511, 513, 768, 990, 1000, 1200]
+    rows = [("fw", f"f{i}_{s}", "hot.c", "hot.c", s, s + i % 300) for i in range(0, 600, 7) for s in starts]
+    rows += [("fw", "none", None, None, 1, 2), ("fw", "lost", "x.c", None, 1, 2), ("fw", "empty", "empty.c", "empty.c", 1, 5), ("fw", "nulls", "other.c", "other.c", None, None)]
+    functions = spark.createDataFrame(rows, "firmware_id string, func_id string, source_file string, resolved_source_path string, line_start int, line_end int")
+    got = {r["func_id"]: r["source_snippet"] for r in S.snippets(functions, files, 8).collect()}
+    assert len(got) == len(rows) and got["none"] is None and got["lost"]["error"] == "source_file_not_found" and got["empty"]["lines"] == []
+    assert [x["text"] for x in got["nulls"]["lines"]] == ["only"]
+    for _, f, _, path, lo, hi in rows:
+        if path == "hot.c":
+            want = [(i, lines[i - 1], lo <= i <= hi) for i in range(max(1, lo - 8), min(1000, hi + 8) + 1)]
+            assert [(x["number"], x["text"], x["in_function"]) for x in got[f]["lines"]] == want
