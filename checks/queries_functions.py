@@ -246,7 +246,7 @@ def signal_hints_limited(spark, sf):
 def signal_hints_large_catalog(spark, sf):
     """The way taken when a catalog is too large to ride along."""
     rows = U.with_haystack(V.v_functions(spark, sf), None)
-    return plain(U.rule_matches(rows, U.signal_rules(default_catalog(spark)), "hints", method="join").select(*C.KEY, "hints"))
+    return plain(U.rule_matches(rows, U.signal_rules(default_catalog(spark)), "hints", method="index").select(*C.KEY, "hints"))
 
 
 @query("J7", f"SELECT {ID}, array_to_string(ids, ',') AS matches FROM v_matches")

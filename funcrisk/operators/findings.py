@@ -150,7 +150,6 @@ def cwe_rollup(predictions: DataFrame) -> DataFrame:
         predictions.select("firmware_id", F.explode("cwe").alias("cwe"))
         .groupBy("firmware_id", "cwe").agg(F.count(F.lit(1)).alias("functions"))
         .withColumn("description", description)
-        .orderBy("firmware_id", F.col("functions").desc(), "cwe")
     )
 
 

@@ -241,12 +241,14 @@ def auto_labels(
     """(firmware_id, func_id, cwe, llm_trace): the answer's ids, else broad matches, which hold all that hints would find."""
     allowed = labelable(catalog).agg(F.collect_set(F.upper("cwe_id")).alias("ids")).scalar()
     rows = with_haystack(functions)
-    rows = rule_matches(rows, broad_rules(catalog), "matches")
     rows = rows.join(responses.select(*C.KEY, "answer"), C.KEY, "left").withColumn("_allowed", allowed)
     parsed = F.when(F.size("_allowed") > 0, parse_cwe_answer(F.col("answer"), F.col("_allowed"))).otherwise(
         parse_cwe_answer(F.col("answer"))
     )
     rows = rows.withColumn("_parsed", parsed)
+    # Nothing is looked for in functions whose answer has ids.
+    rows = rows.withColumn("haystack", F.when(F.size("_parsed") > 0, F.lit("")).otherwise(F.col("haystack")))
+    rows = rule_matches(rows, broad_rules(catalog), "matches")
     cwe = F.when(F.size("_parsed") > 0, F.col("_parsed")).otherwise(F.col("matches"))
     rows = rows.withColumn("cwe", cwe)
     note = F.when(

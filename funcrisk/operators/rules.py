@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from funcrisk import constants as C
 from funcrisk.functions.text import empty_strings, haystack, signal_tokens
 
+# A catalog of ids and tokens of up to so many bytes is tested inside each row.
+INLINE_BYTES = 1 << 16
+
+
 @dataclass(frozen=True)
 class PromptLimits:
     """What a prompt shows at most; None is all of it."""
@@ -61,21 +65,34 @@ def with_haystack(functions: DataFrame, asm_chars: int | None = None) -> DataFra
     )
 
 
+def token_index(tokens: DataFrame) -> DataFrame:
+    """(piece, tokens): every token of at least three characters under that of its pieces which the fewest tokens have."""
+    parts = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, F.lit(3)))
+    pieces = tokens.select("token").distinct().filter(F.length("token") >= 3).select("token", F.explode(F.array_distinct(parts)).alias("piece"))
+    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(shared, "piece").groupBy("token").agg(F.min(F.struct("n", "piece")).getField("piece").alias("piece"))
+    return rarest.groupBy("piece").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+
+
 def rule_matches(
     functions: DataFrame,
     rules: DataFrame,
     name: str,
-    method: str = "inline",
+    method: str | None = None,
     keys: Sequence[str] = tuple(C.KEY),
 ) -> DataFrame:
     """functions (with a haystack) plus the sorted ids of the rules one of whose tokens it holds.
 
-    method "inline" carries the catalog as one scalar value, and the test stays inside the row: for catalogs such as
-    the public weakness list with its thousand ids. "join" meets larger ones on three-character pieces, which
-    every token has, and only real hits go on. Both give the same rows, also where keys repeat.
+    method "inline" carries a catalog of up to INLINE_BYTES as one value and tests it inside the row. "index" is for larger
+    ones: each token lies under one three-character piece, a text meets the pieces that it has and gets one list of
+    candidate tokens, and only these are looked for. Without a method the catalog's size decides. All give the same rows,
+    also where keys repeat.
     """
-    if method not in ("inline", "join"):
+    if method not in (None, "inline", "index"):
         raise ValueError(f"no such method: {method}")
+    if method is None:
+        size = rules.agg(F.sum(F.octet_length(F.concat_ws(" ", "cwe_id", "tokens")))).first()[0] or 0
+        method = "inline" if size <= INLINE_BYTES else "index"
     if method == "inline":
         inline = rules.agg(F.collect_list(F.struct("cwe_id", "tokens")).alias("r")).scalar()
 
@@ -94,20 +111,14 @@ def rule_matches(
     # Rows that repeat a key are told apart by their text; equal ones share their hits.
     functions = functions.withColumn("_text", F.xxhash64("haystack"))
     keys = [*keys, "_text"]
-    tokens = rules.select("cwe_id", F.explode("tokens").alias("token")).distinct().withColumn(
-        "_piece", F.substring("token", 1, 3)
-    )
-    distinct_tokens = tokens.select("_piece", "token").distinct()
-    pieces = F.regexp_extract_all("haystack", F.lit("(?s)(?=(...))"), F.lit(1))
-    hits = (
-        functions.select(*keys, F.explode(F.array_distinct(pieces)).alias("_piece"))
-        .join(distinct_tokens, "_piece").select(*keys, "token").distinct()
-        .join(functions.select(*keys, "haystack"), keys)
-        .filter(F.contains("haystack", F.col("token")))
-        .select(*keys, "token")
-        .join(tokens.select("token", "cwe_id"), "token")
-        .groupBy(*keys).agg(F.sort_array(F.collect_set("cwe_id")).alias(name))
-    )
+    tokens = rules.select("cwe_id", F.explode("tokens").alias("token")).distinct()
+    pieces = F.array_distinct(F.regexp_extract_all("haystack", F.lit("(?s)(?=(...))"), F.lit(1)))
+    asked = functions.select(*keys, F.explode(pieces).alias("piece")).join(token_index(tokens), "piece")
+    candidates = asked.groupBy(*keys).agg(F.flatten(F.collect_set("tokens")).alias("_tokens"))
+    # The text is bound to a variable: it is put together once for all of its candidates.
+    found = F.element_at(F.transform(F.array("haystack"), lambda x: F.filter("_tokens", lambda t: F.contains(x, t))), 1)
+    held = functions.select(*keys, "haystack").join(candidates, keys).select(*keys, F.explode(found).alias("token")).distinct()
+    hits = held.join(tokens, "token").groupBy(*keys).agg(F.sort_array(F.collect_set("cwe_id")).alias(name))
     return functions.join(hits, keys, "left").withColumn(name, F.coalesce(name, empty_strings())).drop("_text")
 
 
