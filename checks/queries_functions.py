@@ -281,7 +281,17 @@ def parse_cwe_answer_lists(spark, sf):
 
 @query("A3", f"SELECT {ID}, {LABEL_COLS} FROM v_cwe")
 def cwe_onehot(spark, sf):
-    return plain(L.cwe_onehot(V.v_cwe(spark, sf)))
+    return plain(L.cwe_onehot(V.v_cwe(spark, sf), IDS))
+
+
+@query("A3", f"""SELECT {ID}, array_to_string(list_transform(list_filter(range(len(d.ids)), lambda i: list_contains(cwe, d.ids[i + 1])), lambda i: CAST(i AS VARCHAR)), ',') AS ones,
+  len(cwe)::BIGINT AS num_cwe_labels, CAST(len(cwe) > 0 AS BIGINT) AS has_cwe
+  FROM v_cwe, (SELECT list(c ORDER BY c) AS ids FROM (SELECT DISTINCT unnest(cwe) AS c FROM v_cwe)) d""")
+def cwe_vectors(spark, sf):
+    """All ids in use, as positions in a dictionary table."""
+    labels = V.v_cwe(spark, sf)
+    rows = L.cwe_vectors(labels, L.cwe_dictionary(labels))
+    return plain(rows.select(*C.KEY, F.col("cwe_positions").cast("array<string>").alias("ones"), "num_cwe_labels", "has_cwe"))
 
 
 @query("A3", f"SELECT {ID}, unnest(cwe) AS cwe FROM v_cwe")
@@ -585,6 +595,13 @@ def rule_table(spark, sf):
     return plain(T.rule_table(train), 5)
 
 
+@query("A11", f"SELECT feature, round(m, 5) + 0.0 AS mean FROM ({_UNION})")
+def feature_means(spark, sf):
+    """The means of all features that a rule model keeps."""
+    train = M.structural_features(V.v_functions(spark, sf)).join(labels_of(spark, sf), C.KEY)
+    return plain(T.feature_moments(train).select("feature", "mean"), 5)
+
+
 @query("M3", f"""SELECT {ID}, round(1 / (1 + exp(-total)), 6) + 0.0 AS score FROM (SELECT {ID}, sum(CASE WHEN x > t THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS total FROM
   (UNPIVOT (SELECT {ID}, {", ".join(f"{c}::DOUBLE AS {c}" for c in _FIT)} FROM v_structural) ON {", ".join(_FIT)} INTO NAME feature VALUE x)
   JOIN (SELECT feature, (v + s) / 2 AS t FROM {_RULES} WHERE rank <= 5) USING (feature) GROUP BY 1, 2)""")

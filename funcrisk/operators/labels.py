@@ -19,7 +19,7 @@ from funcrisk.functions.answers import parse_cwe_answer
 from funcrisk.functions.text import empty_strings
 from funcrisk.operators.matching import NUMBER_BITS, lowest_rows
 from funcrisk.operators.rules import broad_rules, labelable, rule_matches, signal_rules, with_haystack
-from funcrisk.scale import cut_lineage, number_rows
+from funcrisk.scale import cut_lineage, number_rows, sorted_index
 
 # A sheet line may lie this far from a function's first line.
 LINE_SLACK = 2
@@ -288,17 +288,33 @@ def binary_labels(functions: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def cwe_onehot(labels: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per id, num_cwe_labels and has_cwe; ids default to all in use, sorted."""
-    if ids is None:
-        # The ids in use are the wide table's column names.
-        ids = [r[0] for r in labels.select(F.explode("cwe").alias("c")).distinct().orderBy("c").collect()]
+def cwe_onehot(labels: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """One 0/1 column per given id, num_cwe_labels and has_cwe. For the ids in use, whatever they are, see cwe_vectors."""
     flags = [F.array_contains("cwe", i).cast("int").alias(i) for i in ids]
     known = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
     count = F.size(F.array_intersect("cwe", known)).cast("int")
     return labels.select(*C.KEY, *flags, count.alias("num_cwe_labels"), (count > 0).cast("int").alias("has_cwe"))
 
 
+def cwe_dictionary(labels: DataFrame) -> DataFrame:
+    """(cwe, position): the ids in use, numbered from 0 in order of their text."""
+    used = labels.select(F.explode("cwe").alias("cwe")).filter("cwe IS NOT NULL").distinct()
+    return sorted_index(used, [F.col("cwe")], "_n").select("cwe", (F.col("_n") - 1).alias("position"))
+
+
+def cwe_vectors(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(firmware_id, func_id, cwe_positions, num_cwe_labels, has_cwe): the one-hot row as the ascending positions of its ones.
+
+    Built from the long form and the dictionary table; no id is a column name, so none comes to the driver. Ids outside
+    the dictionary are left out. A function without ids has an empty vector.
+    """
+    coded = cwe_long(labels).join(dictionary, "cwe").groupBy(*C.KEY).agg(F.sort_array(F.collect_set("position")).alias("_ones"))
+    ones = F.coalesce("_ones", F.array().cast("array<bigint>"))
+    rows = labels.select(*C.KEY).join(coded, C.KEY, "left").select(*C.KEY, ones.alias("cwe_positions"))
+    count = F.size("cwe_positions")
+    return rows.withColumns({"num_cwe_labels": count, "has_cwe": (count > 0).cast("int")})
+
+
 def cwe_long(labels: DataFrame) -> DataFrame:
     """(firmware_id, func_id, cwe): one row per function and id."""
     return labels.select(*C.KEY, F.explode(F.array_distinct("cwe")).alias("cwe"))

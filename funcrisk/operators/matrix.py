@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from funcrisk import constants as C
 from funcrisk.functions import features as X
-from funcrisk.operators.labels import cwe_onehot
+from funcrisk.operators.labels import cwe_onehot, cwe_vectors
 
 
 def _frame(functions: DataFrame, parts: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -56,24 +56,35 @@ def merge_families(*families: DataFrame) -> DataFrame:
     return reduce(merge, families)
 
 
-def add_labels(frame: DataFrame, labels: DataFrame | None, ids: Sequence[str] | None = None) -> DataFrame:
-    """The frame with label columns and interactions; missing numbers become 0."""
-    has_cwe = False
+def add_labels(
+    frame: DataFrame, labels: DataFrame | None, ids: Sequence[str] | None = None, dictionary: DataFrame | None = None
+) -> DataFrame:
+    """The frame with label columns and interactions; missing numbers become 0.
+
+    With ids the labels are one column each; with a dictionary table they are the positions of the ones, cwe_positions;
+    with neither, only their number and has_cwe.
+    """
+    has_cwe = labels is not None
     if labels is not None:
-        onehot = cwe_onehot(labels, ids)
-        has_cwe = len(onehot.columns) > len(C.KEY) + 2
-        if has_cwe:
-            frame = frame.join(onehot, C.KEY, "left")
+        if ids is not None:
+            coded = cwe_onehot(labels, ids)
+        elif dictionary is not None:
+            coded = cwe_vectors(labels, dictionary)
+        else:
+            count = F.size(F.array_distinct(F.coalesce("cwe", F.array().cast("array<string>"))))
+            coded = labels.select(*C.KEY, count.alias("num_cwe_labels"), (count > 0).cast("int").alias("has_cwe"))
+        frame = frame.join(coded, C.KEY, "left")
     products = X.interaction_columns(has_cwe)
     present = {
         k: v for k, v in products.items()
         if {"entropy", "num_dangerous_calls", "cyclomatic_complexity", "function_size",
             "instruction_count", "num_calls"} <= set(frame.columns)
     }
+    zero = lambda c: F.array().cast("array<bigint>") if c == "cwe_positions" else F.lit(0)
     numbers = [c for c in frame.columns if c not in C.KEY]
     filled = frame.select(
         *[F.col(c) for c in frame.columns if c in C.KEY],
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in numbers],
+        *[F.coalesce(F.col(f"`{c}`"), zero(c)).alias(c) for c in numbers],
     )
     return filled.withColumns(present) if present else filled
 
@@ -87,10 +98,10 @@ def feature_matrix(
 
 
 def matrix_from_functions(
-    functions: DataFrame, labels: DataFrame | None = None, ids: Sequence[str] | None = None
+    functions: DataFrame, labels: DataFrame | None = None, ids: Sequence[str] | None = None, dictionary: DataFrame | None = None
 ) -> DataFrame:
     """The matrix straight from the functions, in one pass."""
-    return add_labels(wide_features(functions), labels, ids)
+    return add_labels(wide_features(functions), labels, ids, dictionary)
 
 
 def drop_label_columns(matrix: DataFrame) -> DataFrame:

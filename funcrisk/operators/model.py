@@ -18,15 +18,17 @@ from funcrisk.operators.scoring import boost_and_flag, rule_score
 
 KINDS = ("boosted", "forest", "rule")
 NOT_FEATURES = {*C.KEY, "label", "split", "weight"}
+FACTS = "kind string, features array<string>, means map<string, double>"
 
 
 @dataclass(frozen=True)
 class Model:
-    """kind, the feature order it expects, and a fitted MLlib model or the rule table."""
+    """kind, the feature order it expects, a fitted MLlib model or the rule table, and a rule model's feature means."""
 
     kind: str
     features: list[str]
     fitted: object
+    means: dict[str, float | None] | None = None
 
 
 def feature_columns(matrix: DataFrame) -> list[str]:
@@ -76,49 +78,45 @@ def fit_forest(train: DataFrame, params: dict | None = None, features: Sequence[
     return Model("forest", features, Pipeline(stages=[_assembler(features), trees]).fit(rows))
 
 
-def rule_table(train: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """The ten features that go with the label most: rank, feature, correlation, threshold, mean.
+def feature_moments(train: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+    """Per feature: position, feature, correlation with the label, middle of the two classes' means, mean, mean_label.
 
-    One pass works out all features' moments as one row; threshold is the middle between the two
-    classes' means for the top five and null below. mean_label is the same on every row.
+    Rows become (position, value) pairs that are summed up before they shuffle, so that the plan is the same for ten
+    features and for thousands. Null values are left out; a constant feature has no correlation.
     """
     features = list(features or feature_columns(train))
-    label = F.col("label").cast("double")
-    moments = []
-    for i, c in enumerate(features):
-        x = F.col(f"`{c}`").cast("double")
-        moments += [
-            # Null for a constant column, which has no correlation.
-            F.abs(F.try_divide(F.covar_pop(x, label), F.stddev_pop(x) * F.stddev_pop(label))).alias(f"r{i}"),
-            F.avg(F.when(label == 1, x)).alias(f"v{i}"),
-            F.avg(F.when(label == 0, x)).alias(f"s{i}"),
-            F.avg(x).alias(f"m{i}"),
-        ]
-    one = train.agg(*moments, F.avg(label).alias("mean_label"))
-    entries = F.array(*[
-        F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(f"r{i}").alias("correlation"),
-            ((F.col(f"v{i}") + F.col(f"s{i}")) / 2).alias("middle"), F.col(f"m{i}").alias("mean"),
-        )
-        for i, c in enumerate(features)
-    ])
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in features]).cast("array<double>")
+    pairs = train.select(F.col("label").cast("double").alias("y"), F.posexplode(values).alias("position", "x"))
+    classes = [F.avg(F.when(F.col("y") == k, F.col("x"))) for k in (1, 0)]
+    return pairs.groupBy("position").agg(
+        F.abs(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("correlation"),
+        ((classes[0] + classes[1]) / 2).alias("middle"), F.avg("x").alias("mean"), F.avg("y").alias("mean_label"),
+    ).withColumn("feature", F.element_at(F.lit(features).cast("array<string>"), F.col("position") + 1))
+
+
+def _ranked(moments: DataFrame) -> DataFrame:
     # One row per feature.
     best = Window.orderBy(F.col("correlation").desc_nulls_last(), "position")
-    return (
-        one.select("mean_label", F.inline(entries))
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 10)
-        .select(
-            "rank", "feature", "correlation",
-            F.when(F.col("rank") <= 5, F.col("middle")).alias("threshold"), "mean", "mean_label",
-        )
-    )
+    rank = F.row_number().over(best)
+    return moments.withColumn("rank", rank).withColumn("threshold", F.when(F.col("rank") <= 5, F.col("middle")))
+
+
+def rule_table(train: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+    """The ten features that go with the label most: rank, feature, correlation, threshold, mean.
+
+    threshold is the middle between the two classes' means for the top five and null below. mean_label is the same on
+    every row.
+    """
+    top = _ranked(feature_moments(train, features)).filter(F.col("rank") <= 10)
+    return top.select("rank", "feature", "correlation", "threshold", "mean", "mean_label")
 
 
 def fit_rule_model(train: DataFrame, features: Sequence[str] | None = None) -> Model:
+    """The ten best features with thresholds, and the means of all."""
     features = list(features or feature_columns(train))
-    # Ten rows.
-    rows = [r.asDict() for r in rule_table(train, features).orderBy("rank").collect()]
-    return Model("rule", features, rows)
+    # One row per feature.
+    rows = [r.asDict() for r in _ranked(feature_moments(train, features)).drop("position", "middle").orderBy("rank").collect()]
+    return Model("rule", features, rows[:10], {r["feature"]: r["mean"] for r in rows})
 
 
 def predict_rule_model(matrix: DataFrame, model: Model) -> DataFrame:
@@ -180,8 +178,8 @@ def fit(train: DataFrame, kind: str = "boosted", params: dict | None = None, fn_
 
 
 def save_model(spark: SparkSession, model: Model, folder: str) -> None:
-    """The model's kind and features as one JSON row, beside the fitted part."""
-    facts = spark.createDataFrame([(model.kind, model.features)], "kind string, features array<string>")
+    """The model's kind, features and their means as one JSON row, beside the fitted part."""
+    facts = spark.createDataFrame([(model.kind, model.features, model.means)], FACTS)
     facts.coalesce(1).write.mode("overwrite").json(f"{folder}/facts")
     if model.kind == "rule":
         schema = "rank int, feature string, correlation double, threshold double, mean double, mean_label double"
@@ -192,8 +190,9 @@ def save_model(spark: SparkSession, model: Model, folder: str) -> None:
 
 
 def load_model(spark: SparkSession, folder: str) -> Model:
-    facts = spark.read.schema("kind string, features array<string>").json(f"{folder}/facts").first()
+    facts = spark.read.schema(FACTS).json(f"{folder}/facts").first()
     if facts["kind"] == "rule":
         rules = spark.read.parquet(f"{folder}/rules").orderBy("rank").collect()
-        return Model("rule", list(facts["features"]), [r.asDict() for r in rules])
+        means = facts["means"]
+        return Model("rule", list(facts["features"]), [r.asDict() for r in rules], None if means is None else {c: means.get(c) for c in facts["features"]})
     return Model(facts["kind"], list(facts["features"]), PipelineModel.load(f"{folder}/fitted"))
