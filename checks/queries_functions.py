@@ -147,11 +147,11 @@ def interactions(spark, sf):
     return plain(matrix.select(*C.KEY, *X.interaction_columns()))
 
 
-_ALL = f"{S_COLS}, {INT(X.PERIPHERAL)}, {E_COLS}"
+ALL_FEATURES = f"{S_COLS}, {INT(X.PERIPHERAL)}, {E_COLS}"
 _JOINED = f"v_structural JOIN v_peripheral USING ({ID}) JOIN v_embedding USING ({ID}) JOIN v_cwe USING ({ID}) JOIN {HAS}"
 
 
-@query("J11", f"SELECT {ID}, {_ALL}, {LABEL_COLS}, {CWE_PRODUCTS}, {PRODUCTS} FROM {_JOINED}")
+@query("J11", f"SELECT {ID}, {ALL_FEATURES}, {LABEL_COLS}, {CWE_PRODUCTS}, {PRODUCTS} FROM {_JOINED}")
 def feature_matrix(spark, sf):
     functions = V.v_functions(spark, sf)
     return plain(M.matrix_from_functions(functions, V.v_cwe(spark, sf), IDS))
@@ -175,7 +175,7 @@ def merge_families(spark, sf):
     return plain(M.feature_matrix(s, p, e))
 
 
-@query("P5", f"SELECT {ID}, {_ALL}, {PRODUCTS} FROM {_JOINED}")
+@query("P5", f"SELECT {ID}, {ALL_FEATURES}, {PRODUCTS} FROM {_JOINED}")
 def drop_label_columns(spark, sf):
     matrix = M.matrix_from_functions(V.v_functions(spark, sf), V.v_cwe(spark, sf), IDS)
     return plain(M.drop_label_columns(matrix))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.registry import plain, query
-from checks.queries_functions import ID, IDS, S_COLS, labels_of
+from checks.queries_functions import ALL_FEATURES, CWE_PRODUCTS, ID, IDS, PRODUCTS, S_COLS, labels_of
 from checks.view_sql import NL, rule_total, strings
 from funcrisk import constants as C
 from funcrisk.config import Config
@@ -242,7 +242,34 @@ def run_static(spark, sf):
     return plain(scored.predictions.select(*C.KEY, "score", "cwe"))
 
 
-@query("E2")
+@query("E1", "SELECT firmware_id, root AS roots, reason FROM v_job_images")
+def admit_images(spark, sf):
+    """The gate in front of the jobs: ELF, debug sections, source folder by key."""
+    return plain(J.admit_images(V.gated_tables(spark, sf)).select("firmware_id", "roots", "reason"))
+
+
+@query("E1, J8, J9, J10, J13", f"SELECT {ID}, round(score, 6) + 0.0 AS score, array_to_string(cwe, ',') AS cwe FROM v_gated_scores")
+def run_static_labelled(spark, sf):
+    """The static stage over usable images, with a label sheet that names images and with answers."""
+    scored = J.run_static(V.gated_tables(spark, sf))
+    return plain(scored.predictions.select(*C.KEY, "score", "cwe"))
+
+
+@query("E2", """SELECT firmware_id, coalesce(reason, CASE WHEN n IS NULL THEN 'no functions' WHEN mapped = 0 THEN 'no function maps to source lines' END) AS why
+  FROM v_job_images LEFT JOIN (SELECT firmware_id, count(*) AS n, count(*) FILTER (has_source_mapping) AS mapped FROM v_span GROUP BY 1) USING (firmware_id) WHERE why IS NOT NULL""")
+def analyze_rejects(spark, sf):
+    """Images that an analysis leaves out, with the reason."""
+    return plain(J.analyze(V.gated_tables(spark, sf)).rejects.select("firmware_id", F.col("reason").alias("why")))
+
+
+@query("E2", f"""WITH v_a AS (SELECT {ID}, n.name, s.score, s.cwe, n.source_file, n.line_start, n.line_end, h.func_id IS NOT NULL AS shown, n.func_ordinal, n.has_source_mapping
+    FROM v_job_scores s JOIN v_span n USING ({ID}) LEFT JOIN (SELECT firmware_id, func_id FROM v_job_shown) h USING ({ID})
+    WHERE firmware_id IN (SELECT firmware_id FROM v_span WHERE has_source_mapping)),
+  v_b AS (SELECT firmware_id, count(*) AS functions_total, count(*) FILTER (has_source_mapping) AS functions_with_source, count(*) FILTER (shown) AS functions_with_snippet,
+    count(*) FILTER (score >= 0.7) AS vulnerable_count FROM v_a GROUP BY 1)
+  SELECT {ID}, row_number() OVER (PARTITION BY firmware_id ORDER BY shown DESC, coalesce(source_file <> '', false) DESC, score DESC, func_ordinal) AS rank, name,
+    round(score, 6) + 0.0 AS score, score >= 0.7 AS is_vulnerable, array_to_string(cwe, ',') AS cwe, source_file, line_start, line_end,
+    functions_total, functions_with_source, functions_with_snippet, vulnerable_count FROM v_a JOIN v_b USING (firmware_id)""")
 def analyze(spark, sf):
     result = J.analyze(V.job_tables(spark, sf))
     findings = result.findings.select(*C.KEY, "rank", "name", "score", "is_vulnerable", "cwe", "source_file", "line_start", "line_end")
@@ -257,6 +284,44 @@ def build_dataset(spark, sf):
     return plain(per_image.agg(F.sum("n").alias("functions"), F.count(F.lit(1)).alias("firmwares")))
 
 
+@query("E4, J11, A3, A4", f"""SELECT {ID}, {ALL_FEATURES}, len(cwe)::BIGINT AS num_cwe_labels, b.h AS has_cwe, {CWE_PRODUCTS}, {PRODUCTS}, b.h AS label,
+  array_to_string(list_transform(list_filter(range(len(d.ids)), lambda i: list_contains(cwe, d.ids[i + 1])), lambda i: CAST(i AS VARCHAR)), ',') AS ones, array_to_string(cwe, ',') AS cwe
+  FROM v_job_structural JOIN v_job_peripheral USING ({ID}) JOIN v_job_embedding USING ({ID}) JOIN v_job_matches USING ({ID})
+  JOIN (SELECT {ID}, CAST(len(cwe) > 0 AS BIGINT) AS h FROM v_job_matches) b USING ({ID}), (SELECT list(c ORDER BY c) AS ids FROM (SELECT DISTINCT unnest(cwe) AS c FROM v_job_matches)) d""")
+def build_dataset_rows(spark, sf):
+    """All columns of the data set that the jobs build."""
+    matrix, labels, cwe = J.build_dataset(V.job_tables(spark, sf))
+    ones = F.col("cwe_positions").cast("array<string>").alias("ones")
+    rows = matrix.select(*[c for c in matrix.columns if c != "cwe_positions"], ones)
+    return plain(rows.join(labels, C.KEY).join(cwe, C.KEY))
+
+
+@query("E3, A13", """SELECT split, firmwares, functions, vulnerable, functions AS samples FROM (
+  SELECT split, count(DISTINCT firmware_id) AS firmwares, count(*) AS functions, sum(CAST(len(cwe) > 0 AS BIGINT))::BIGINT AS vulnerable
+  FROM v_gated_labels JOIN (SELECT firmware_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || firmware_id)) <= ceil(round(count(*) OVER () * 0.2, 9)) THEN 'validation' ELSE 'train' END AS split
+    FROM (SELECT DISTINCT firmware_id FROM v_gated_labels)) USING (firmware_id) GROUP BY 1)""")
+def train_summary(spark, sf):
+    """Training over usable images with sheet and answers: who is held out, and what was measured on whom."""
+    training = J.train(V.gated_tables(spark, sf), Config(model_kind="rule"), shared_folder(spark, "train"))
+    return plain(training.summary.join(training.metrics.select("split", "samples"), "split"))
+
+
+@query("S5, U1, W6", f"SELECT {ID}, {S_COLS}, CAST(len(cwe) > 0 AS BIGINT) AS label, array_to_string(cwe, ',') AS cwe FROM v_structural JOIN v_cwe USING ({ID})")
+def incremental_dataset(spark, sf):
+    """A data set built image by image in two runs is the one that a full build gives."""
+    folder = shared_folder(spark, "images")
+    content = F.md5(F.concat("firmware_id", F.lit("|v1")))
+    rows = V.v_functions(spark, sf).withColumn("sha256", content)
+    images = rows.select("firmware_id", "sha256").distinct()
+    matrix, labels, cwe = M.structural_features(rows), labels_of(spark, sf), V.v_cwe(spark, sf)
+    for part in (images.filter(F.col("sha256") < "8"), images):
+        new = cut_lineage(datasets.new_images(spark, part, folder))
+        mine = lambda df: df.join(new.select("firmware_id"), "firmware_id", "left_semi")  # noqa: E731, B023
+        datasets.add_images(mine(matrix), mine(labels), mine(cwe), new, folder)
+    matrix, labels, cwe = datasets.load_images(spark, folder)
+    return plain(matrix.join(labels, C.KEY).join(cwe, C.KEY))
+
+
 def _training_rows(spark, sf):
     functions = V.v_functions(spark, sf)
     return M.drop_label_columns(M.matrix_from_functions(functions, V.v_cwe(spark, sf), IDS)).join(labels_of(spark, sf), C.KEY)

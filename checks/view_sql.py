@@ -310,6 +310,79 @@ SELECT firmware_id, address, string_agg('call8 40081290 <' || {word('l_partkey *
 FROM (SELECT *, unnest(range(l_partkey % 6 + 1)) AS j FROM (SELECT DISTINCT firmware_id, address, l_partkey, l_suppkey FROM v_symbols)) GROUP BY 1, 2"""
 
 
+# The functions as the jobs extract them, with features over them.
+V["v_job_functions"] = f"""
+SELECT firmware_id, func_id, func_ordinal, name, size, n_lines AS instructions, CAST([] AS VARCHAR[]) AS strings, 6.5::DOUBLE AS entropy, disassembly, syms,
+  list_concat(a, list_filter(h, lambda t: NOT list_contains(a, t))) AS calls
+FROM (SELECT n.*, d.syms, d.n_lines, d.disassembly,
+    list_sort(list_distinct(list_concat(syms, list_concat(['40081290'], list_filter({strings(C.PLAIN_CALL_TOKENS)}, lambda t: contains(disassembly, t)))))) AS a,
+    list_filter({strings(C.NAME_HINT_TOKENS)}, lambda t: contains(lower(name), t)) AS h
+  FROM v_numbered n JOIN v_disassembly d ON n.firmware_id = d.firmware_id AND n.address_int = d.address)"""
+_JOB_VIEWS = ("functions", "extended", "structural", "peripheral", "embedding", "rule_score")
+for _v in _JOB_VIEWS[1:]:
+    V[f"v_job_{_v}"] = re.sub(r"\bv_(" + "|".join(_JOB_VIEWS) + r")\b", r"v_job_\1", V[f"v_{_v}"])
+
+V["v_job_manifest"] = """
+SELECT 'fw' || s_suppkey AS firmware_id, s_suppkey AS seq, 'Board-' || s_suppkey AS stem, 'p' || (s_suppkey % 7) AS parent, s_suppkey % 5 <> 0 AS is_elf,
+  CASE WHEN s_suppkey % 3 <> 1 THEN 'src' || (s_suppkey % 20) END AS own FROM supplier"""
+
+V["v_job_images"] = """
+SELECT firmware_id, stem, coalesce(own, theirs) AS root, CASE WHEN NOT is_elf THEN 'not an ELF file'
+  WHEN firmware_id NOT IN (SELECT firmware_id FROM v_sections WHERE starts_with(name, '.debug_')) THEN 'no debug sections'
+  WHEN coalesce(own, theirs) IS NULL THEN 'no source folder' END AS reason
+FROM v_job_manifest LEFT JOIN (SELECT parent, arg_max(own, seq) AS theirs FROM v_job_manifest WHERE own IS NOT NULL GROUP BY 1) USING (parent)"""
+
+V["v_job_roots"] = """
+SELECT firmware_id, [root] AS roots FROM v_job_images WHERE reason IS NULL"""
+V["v_job_resolved"] = V["v_resolved"].replace("v_roots", "v_job_roots")
+
+V["v_job_sheet"] = f"""
+SELECT row_idx, CASE WHEN row_idx % 2 = 1 THEN {word('part')} || '_' || part || '_' || (row_idx // 7 % 5 + 1) END AS function_name,
+  CASE WHEN row_idx % 2 = 0 THEN part * 64 + 4096 END AS address, CASE WHEN row_idx % 3 <> 1 THEN 'BOARD-' || (cust % 100) END AS firmware,
+  CASE WHEN row_idx % 5 = 0 THEN ['CWE-416'] WHEN row_idx % 5 = 1 THEN ['CWE-120', 'CWE-362'] WHEN row_idx % 4 = 0 THEN ['CWE-UNKNOWN'] ELSE CAST([] AS VARCHAR[]) END AS cwe
+FROM (SELECT o_orderkey AS row_idx, o_orderkey % 997 + 1 AS part, o_custkey AS cust FROM orders)"""
+
+V["v_job_taken"] = """
+SELECT firmware_id, func_id, arg_min(cwe, row_idx) AS cwe FROM (
+  SELECT n.firmware_id, n.func_id, m.stem, r.* FROM v_numbered n JOIN v_job_images m USING (firmware_id) JOIN v_job_sheet r ON r.address = n.address_int
+  UNION ALL SELECT n.firmware_id, n.func_id, m.stem, r.* FROM v_numbered n JOIN v_job_images m USING (firmware_id) JOIN v_job_sheet r ON r.function_name = n.name)
+WHERE firmware IS NULL OR contains(lower(stem), lower(firmware)) OR contains(lower(firmware), lower(stem)) GROUP BY 1, 2"""
+
+V["v_job_answers"] = f"""
+SELECT firmware_id, func_id, list_filter(CASE WHEN k % 3 = 0 THEN ['CWE-787', 'CWE-79'] WHEN k % 3 = 2 THEN ['CWE-190'] ELSE CAST([] AS VARCHAR[]) END,
+  lambda x: list_contains({strings([r[0] for r in C.DEFAULT_RULES])}, x)) AS ids
+FROM (SELECT 'fw' || (o_custkey % 100) AS firmware_id, printf('func_%03d', o_orderkey % 499 + 1) AS func_id, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)"""
+
+
+def job_labels(resolved: str) -> str:
+    """firmware_id, func_id, cwe: what the rules find in the functions and their source lines."""
+    return f"""SELECT h.firmware_id, h.func_id, coalesce(list_sort(list(r.cwe_id) FILTER (len(list_filter(r.broad, lambda t: contains(h.hay, t))) > 0)), CAST([] AS VARCHAR[])) AS cwe
+FROM (SELECT e.firmware_id, e.func_id, lower(e.name || ' ' || array_to_string(e.calls, ' ') || '  ' || e.disassembly || coalesce(' ' || s.lines, '')) AS hay
+  FROM v_job_functions e LEFT JOIN (SELECT r.firmware_id, r.func_id, string_agg(l.text, ' ' ORDER BY l.line_no) AS lines FROM {resolved} r JOIN v_file_lines l
+    ON l.path = r.resolved_source_path AND l.line_no BETWEEN greatest(1, greatest(1, r.line_start) - 8) AND greatest(greatest(1, r.line_start), r.line_end) + 8
+    GROUP BY 1, 2) s USING (firmware_id, func_id)) h, v_rule_tokens r GROUP BY 1, 2"""
+
+
+V["v_job_matches"] = job_labels("v_resolved")
+V["v_gated_matches"] = job_labels("v_job_resolved")
+V["v_gated_labels"] = """
+SELECT m.firmware_id, m.func_id, CASE WHEN len(t.cwe) > 0 THEN t.cwe WHEN len(a.ids) > 0 THEN a.ids ELSE m.cwe END AS cwe
+FROM v_gated_matches m JOIN v_job_roots USING (firmware_id) LEFT JOIN v_job_taken t USING (firmware_id, func_id) LEFT JOIN v_job_answers a USING (firmware_id, func_id)"""
+
+
+def boosted(labels: str) -> str:
+    """firmware_id, func_id, cwe, score of the jobs, from a view of label lists."""
+    return f"""SELECT firmware_id, func_id, cwe, CASE WHEN len(cwe) > 0 THEN least(score + 0.3::DOUBLE, 0.95::DOUBLE) ELSE score END AS score
+FROM v_job_rule_score JOIN {labels} USING (firmware_id, func_id)"""
+
+
+V["v_job_scores"] = boosted("v_job_matches")
+V["v_gated_scores"] = boosted("v_gated_labels")
+V["v_job_shown"] = """
+SELECT DISTINCT r.firmware_id, r.func_id FROM v_resolved r JOIN v_file_lines l
+  ON l.path = r.resolved_source_path AND l.line_no BETWEEN greatest(1, greatest(1, r.line_start) - 8) AND greatest(greatest(1, r.line_start), r.line_end) + 8"""
+
+
 def with_views(sql: str) -> str:
     """The statement with every view it needs, in order, in front."""
     order: list[str] = []

@@ -5,6 +5,8 @@ view_sql.py holds the same formulas for the SQL side. Every view takes whole tab
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from funcrisk import constants as C
 from funcrisk.functions.calls import all_calls, instruction_count
 from funcrisk.operators import matrix as X
 from funcrisk.operators.scoring import boost_and_flag, rule_score
+from funcrisk.operators.sourcemap import build_root_map
 from funcrisk.plans.jobs import Tables
 from funcrisk.scale import spread
 from funcrisk.sources.catalog import default_catalog
@@ -277,6 +280,46 @@ def v_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def v_job_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """v_manifest with stems that differ from the ids."""
+    k = F.col("seq")
+    root = F.when(k % 3 != 1, text_of("src", k % 20))
+    return v_manifest(spark, sf).withColumns({"stem": text_of("Board-", k), "root": root})
+
+
+def v_job_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheet rows by address or by name, for some images, named in capitals, or for any."""
+    k, part = F.col("o_orderkey"), F.col("o_orderkey") % 997 + 1
+    none, some = F.array().cast("array<string>"), lambda *v: F.array(*map(F.lit, v))
+    line = F.floor(k / 7) % 5 + 1
+    name = F.concat(word(part), F.lit("_"), part.cast("string"), F.lit("_"), line.cast("string"))
+    return table(spark, sf, "orders").select(
+        k.alias("row_idx"), F.when(k % 2 == 1, name).alias("function_name"), F.lit(None).cast("string").alias("func_id"),
+        F.when(k % 5 == 0, some("CWE-416")).when(k % 5 == 1, some("CWE-120", "CWE-362")).otherwise(none).alias("cwe_list"),
+        F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("bigint").alias("line"),
+        F.when(k % 2 == 0, part * 64 + 4096).cast("bigint").alias("address"),
+        F.when(k % 3 != 1, text_of("BOARD-", F.col("o_custkey") % 100)).alias("firmware"), (k % 4 == 0).alias("vulnerable"),
+    )
+
+
+def v_job_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Model answers for some functions of some images, one a function."""
+    k = F.col("o_orderkey")
+    func = F.format_string("func_%03d", k % 499 + 1)
+    answer = F.when(F.col("k") % 3 == 0, '["CWE-787", "cwe-79", "CWE-999"]').when(F.col("k") % 3 == 1, "none that I know").otherwise("see cwe-190.")
+    rows = table(spark, sf, "orders").groupBy(text_of("fw", F.col("o_custkey") % 100).alias("firmware_id"), func.alias("func_id"))
+    return rows.agg(F.min("o_orderkey").alias("k")).select("firmware_id", "func_id", answer.alias("answer"))
+
+
+def gated_tables(spark: SparkSession, sf: str) -> Tables:
+    """The job's tables with a manifest, roots by key, a label sheet and answers."""
+    manifest = v_job_manifest(spark, sf)
+    return replace(
+        job_tables(spark, sf), roots=None, manifest=manifest, root_map=build_root_map(manifest.select("path", "root", "seq")),
+        label_rows=v_job_sheet(spark, sf), responses=v_job_answers(spark, sf),
+    )
+
+
 def job_tables(spark: SparkSession, sf: str) -> Tables:
     return Tables(
         symbols=v_symbols(spark, sf), sections=v_sections(spark, sf), line_table=v_line_table(spark, sf),

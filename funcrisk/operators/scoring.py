@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from funcrisk import constants as C
 from funcrisk.functions.risk import boosted_score
 from funcrisk.functions.text import empty_strings
-from funcrisk.scale import cut_lineage, join_per_key
+from funcrisk.scale import join_per_key, keep_table
 
 
 def rule_score(matrix: DataFrame, constant: str = "raw", materialize: bool = True) -> DataFrame:
@@ -17,10 +17,10 @@ def rule_score(matrix: DataFrame, constant: str = "raw", materialize: bool = Tru
     The ranges are one row per image from partial aggregates, so a large image costs no window.
     A feature that is constant in an image counts with its raw value, or not at all with
     constant="zero". The rows are needed twice, for the ranges and for the scores; materialize
-    writes them to the checkpoint folder first, so that texts are not read for features twice.
+    writes them to a table in the shared folder first, so that texts are not read for features twice.
     """
     if materialize:
-        matrix = cut_lineage(matrix)
+        matrix = keep_table(matrix, "rule-score")
     features = [c for c in C.RULE_WEIGHTS if c in matrix.columns]
     ranges = matrix.groupBy("firmware_id").agg(
         *[f(F.col(c)).alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,37 +18,48 @@ from funcrisk.operators import model as M
 from funcrisk.operators import sourcemap as S
 from funcrisk.operators import split as H
 from funcrisk.operators import symbols as Y
-from funcrisk.scale import cut_lineage, require_rows
+from funcrisk.scale import Workspace, join_per_key, require_rows
 from funcrisk.sources import datasets
 
 
 @dataclass(frozen=True)
 class Tables:
-    """What a job reads. asm, labels and responses are optional."""
+    """What a job reads. asm, labels and responses are optional.
+
+    With a manifest only its usable images take part: ELF files that have debug sections and a source folder. The folder
+    comes from root_map (key, roots, seq), where given, by path, name, stem or parent, else from roots.
+    """
 
     symbols: DataFrame
     sections: DataFrame
     line_table: DataFrame
     source_files: DataFrame
-    roots: DataFrame
+    roots: DataFrame | None
     catalog: DataFrame
     asm: DataFrame | None = None
     label_rows: DataFrame | None = None
     responses: DataFrame | None = None
+    manifest: DataFrame | None = None
+    root_map: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Scored:
+    """images: the manifest's, as admit_images gives them, if there is one. work holds the tables that the results read."""
+
     functions: DataFrame
     matrix: DataFrame
     labels: DataFrame
     predictions: DataFrame
+    images: DataFrame | None
+    work: Workspace
 
 
 @dataclass(frozen=True)
 class Analysis:
     findings: DataFrame
     summary: DataFrame
+    rejects: DataFrame
     scored: Scored
 
 
@@ -60,6 +71,30 @@ class Training:
     images: DataFrame
 
 
+def admit_images(tables: Tables) -> DataFrame:
+    """(firmware_id, stem, roots, reason): the manifest's images; reason is null for those a job can use."""
+    flagged = Y.debug_images(tables.manifest, tables.sections)
+    if tables.root_map is not None:
+        rooted = S.roots_for_images(flagged, tables.root_map)
+    else:
+        rooted = flagged.join(tables.roots.select("firmware_id", "roots"), "firmware_id", "left")
+    lacking = F.when(F.coalesce(F.size("roots"), F.lit(0)) <= 0, "no source folder")
+    return rooted.select("firmware_id", "stem", "roots", F.coalesce("reason", lacking).alias("reason"))
+
+
+def admitted(tables: Tables, work: Workspace) -> tuple[Tables, DataFrame | None]:
+    """The tables of the usable images, and the images; without a manifest all tables and None."""
+    if tables.manifest is None:
+        return tables, None
+    images = work.keep(admit_images(tables), "images")
+    good = images.filter("reason IS NULL")
+    cut = lambda df: None if df is None else df.join(good.select("firmware_id"), "firmware_id", "left_semi")
+    return replace(
+        tables, symbols=cut(tables.symbols), sections=cut(tables.sections), line_table=cut(tables.line_table),
+        asm=cut(tables.asm), roots=good.select("firmware_id", "roots"),
+    ), images
+
+
 def numbered_functions(tables: Tables, config: Config = Config()) -> DataFrame:
     """The functions of every image in address order: ids, names, addresses and sizes only."""
     ranges = Y.code_ranges(tables.sections)
@@ -95,13 +130,18 @@ def extract_functions(tables: Tables, config: Config = Config()) -> DataFrame:
     return with_disassembly(numbered_functions(tables, config), tables.asm)
 
 
-def mapped_functions(tables: Tables, config: Config = Config()) -> DataFrame:
+def mapped_functions(tables: Tables, config: Config, work: Workspace) -> DataFrame:
     """Functions with disassembly and sources, written once.
 
-    The narrow function list feeds the lookups several times and is kept first; texts join last.
+    The narrow function list feeds the lookups several times and is kept first; texts join last. With a manifest the
+    functions carry their image's stem, by which sheets name it.
     """
-    numbered = cut_lineage(numbered_functions(tables, config))
-    return cut_lineage(with_disassembly(map_sources(numbered, tables, config), tables.asm))
+    numbered = numbered_functions(tables, config)
+    if tables.manifest is not None:
+        stems = tables.manifest.select("firmware_id", F.col("stem").alias("firmware_stem")).dropDuplicates(["firmware_id"])
+        numbered = join_per_key(numbered, stems, ["firmware_id"], "left")
+    numbered = work.keep(numbered, "numbered")
+    return work.keep(with_disassembly(map_sources(numbered, tables, config), tables.asm), "functions")
 
 
 def map_sources(functions: DataFrame, tables: Tables, config: Config = Config()) -> DataFrame:
@@ -125,37 +165,66 @@ def label_functions(functions: DataFrame, tables: Tables, config: Config = Confi
     return L.merge_labels(functions, sheet, auto)
 
 
-def run_static(tables: Tables, config: Config = Config(), model: M.Model | None = None) -> Scored:
+def run_static(
+    tables: Tables, config: Config = Config(), model: M.Model | None = None, work: Workspace | None = None
+) -> Scored:
     """Functions, matrix, labels and scores.
 
-    The function table feeds labels, features and findings alike, so it is read from the
-    checkpoint folder rather than worked out again for each.
+    The function table feeds labels, features and findings alike, so it is a Parquet table of the job's workspace, of
+    which each reads its own columns. No label becomes a column here, as no score may read one.
     """
-    functions = mapped_functions(tables, config)
-    labels = cut_lineage(label_functions(functions, tables, config))
+    work = work or Workspace(tables.symbols.sparkSession)
+    tables, images = admitted(tables, work)
+    functions = mapped_functions(tables, config, work)
+    labels = work.keep(label_functions(functions, tables, config), "labels")
     matrix = X.matrix_from_functions(functions, labels)
     predictions = M.predict(matrix, labels, model, config.threshold, config.cwe_boost)
-    return Scored(functions, matrix, labels, predictions)
+    return Scored(functions, matrix, labels, predictions, images, work)
+
+
+def image_states(scored: Scored, require_source_mapping: bool = True) -> DataFrame:
+    """(firmware_id, reason): all images known, reason null where the analysis stands."""
+    counts = scored.functions.groupBy("firmware_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("has_source_mapping", F.lit(False))).alias("mapped")
+    )
+    if scored.images is None:
+        known = counts.withColumn("reason", F.lit(None).cast("string"))
+    else:
+        known = scored.images.select("firmware_id", "reason").join(counts, "firmware_id", "left")
+    found = F.when(F.col("n").isNull(), "no functions").when(
+        F.lit(require_source_mapping) & (F.col("mapped") == 0), "no function maps to source lines"
+    )
+    return known.select("firmware_id", F.coalesce("reason", found).alias("reason"))
 
 
 def analyze(
     tables: Tables, model: M.Model | None = None, config: Config = Config(),
-    source_only: bool = False, require_source_mapping: bool = True,
+    source_only: bool = False, require_source_mapping: bool = True, work: Workspace | None = None,
 ) -> Analysis:
-    """Ranked findings and the summary per image."""
-    scored = run_static(tables, config, model)
-    if require_source_mapping:
-        require_rows(scored.functions.filter("has_source_mapping"), "no function could be mapped to source lines")
-    require_rows(scored.functions, "no predictions were produced")
-    findings = R.rank_findings(scored.predictions, scored.functions, config.max_findings, source_only)
-    return Analysis(findings, R.analysis_summary(scored.functions, scored.predictions), scored)
+    """Ranked findings and the summary per image; images that cannot be analysed are rejects with a reason.
 
-
-def build_dataset(tables: Tables, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matrix, binary labels, label lists) of all images, without scoring."""
-    functions = mapped_functions(tables, config)
-    cwe = cut_lineage(label_functions(functions, tables, config))
-    return X.matrix_from_functions(functions, cwe), L.binary_labels(functions, cwe), cwe
+    An image fails alone: with require_source_mapping one without any mapped function is a reject, and the others go on.
+    """
+    scored = run_static(tables, config, model, work)
+    states = scored.work.keep(image_states(scored, require_source_mapping), "states")
+    good = states.filter("reason IS NULL").select("firmware_id")
+    cut = lambda df: df.join(good, "firmware_id", "left_semi")
+    predictions = scored.work.keep(cut(scored.predictions), "predictions")
+    functions = cut(scored.functions)
+    findings = R.rank_findings(predictions, functions, config.max_findings, source_only)
+    return Analysis(findings, R.analysis_summary(functions, predictions), states.filter("reason IS NOT NULL"), scored)
+
+
+def build_dataset(
+    tables: Tables, config: Config = Config(), work: Workspace | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matrix, binary labels, label lists) of all images, without scoring; the matrix holds ids by their position."""
+    work = work or Workspace(tables.symbols.sparkSession)
+    tables, _ = admitted(tables, work)
+    functions = mapped_functions(tables, config, work)
+    cwe = work.keep(label_functions(functions, tables, config), "labels")
+    dictionary = work.keep(L.cwe_dictionary(cwe), "dictionary")
+    return X.matrix_from_functions(functions, cwe, dictionary=dictionary), L.binary_labels(functions, cwe), cwe
 
 
 def training_summary(split_labels: DataFrame) -> DataFrame:
@@ -169,28 +238,30 @@ def training_summary(split_labels: DataFrame) -> DataFrame:
 
 
 def train_on(
-    matrix: DataFrame, labels: DataFrame, config: Config = Config(), method: str = "hash"
+    matrix: DataFrame, labels: DataFrame, config: Config = Config(), method: str = "hash", work: Workspace | None = None
 ) -> Training:
     """Split by image, fit on one part, measure on both."""
+    work = work or Workspace(matrix.sparkSession)
     split = H.split_by_firmware(labels, config.validation_split, config.seed, method)
-    rows = X.drop_label_columns(matrix).join(split, C.KEY)
-    # Trees pass over the rows many times.
-    rows = rows.persist()
+    # Trees pass over the rows many times; features are worked out once.
+    rows = work.keep(X.drop_label_columns(matrix).join(split, C.KEY), "rows")
     train = rows.filter(F.col("split") == "train")
     model = M.fit(train, config.model_kind, config.model_params, config.fn_cost_multiplier, config.scale_pos_weight)
     scored = M.score_matrix(rows, model).join(rows.select(*C.KEY, "split", "label"), C.KEY)
-    return Training(
-        model, M.accuracy_metrics(scored), training_summary(split), split.select("firmware_id", "split").distinct()
-    )
+    told = rows.select(*C.KEY, "split", "label")
+    return Training(model, M.accuracy_metrics(scored), training_summary(told), told.select("firmware_id", "split").distinct())
 
 
-def train(tables: Tables, config: Config = Config(), folder: str | None = None, method: str = "hash") -> Training:
+def train(
+    tables: Tables, config: Config = Config(), folder: str | None = None, method: str = "hash", work: Workspace | None = None
+) -> Training:
     """Dataset, split, fit, metrics; with a folder the dataset and the model are kept there."""
-    matrix, labels, cwe = build_dataset(tables, config)
+    work = work or Workspace(tables.symbols.sparkSession)
+    matrix, labels, cwe = build_dataset(tables, config, work)
     require_rows(labels, "no features were extracted")
     if folder is not None:
         datasets.save_dataset(matrix, labels, cwe, f"{folder}/dataset")
-    training = train_on(matrix, labels, config, method)
+    training = train_on(matrix, labels, config, method, work)
     if folder is not None:
         M.save_model(matrix.sparkSession, training.model, f"{folder}/model")
     return training

@@ -112,6 +112,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_table(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """df as a Parquet table in a new shared folder, or below root, read back: lineage ends, and readers fetch the columns they use."""
+    folder = shared_folder(df.sparkSession, name) if root is None else f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Workspace:
+    """The kept tables of one job, in a folder of their own that goes with release() or the end of a with block.
+
+    Results that are still lazy read these tables: write them out before.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "job"):
+        self.spark, self.folder = spark, shared_folder(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return keep_table(df, name, self.folder)
+
+    def release(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
+
+
 def sorted_index(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """1-based position in a total order, for orders that have no natural bucket.
 
