@@ -20,6 +20,8 @@ from funcrisk.llm import tokens
 from funcrisk.llm.common import keep, texts
 
 ROUNDS, EPSILON = 120, 0.3
+#: Lengths that a knapsack is offered, and the greatest part by which a weight raises a price.
+CHOICE, SPREAD = 80, 0.0025
 #: Words, and pieces, that a worker remembers, of at most so many characters.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 BUCKETS = 1024
@@ -104,90 +106,98 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Data
 
 
 def best_configuration(values: np.ndarray, sizes: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
-    """How often each size goes into one bin for the greatest value: a knapsack by dynamic programming.
+    """How often each size goes into one bin for the greatest value, at most `most` times: a knapsack by dynamic programming.
 
-    values and sizes are by size class, ascending; most bounds each class's use, kept by a second, greedy pass.
+    Copies of a size are offered in packets of 1, 2, 4 ..., each taken or not, so the bounds hold exactly.
     """
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1, np.int32)
-    for w in range(int(sizes[0]), room + 1):
-        k = int(np.searchsorted(sizes, w, "right"))
-        gain = values[:k] + best[w - sizes[:k]]
-        j = int(gain.argmax())
-        if gain[j] > best[w - 1] + 1e-15:
-            best[w], pick[w] = gain[j], j
-        else:
-            best[w] = best[w - 1]
-    use, w = np.zeros(len(sizes), np.int64), room
-    while w > 0:
-        if pick[w] < 0:
-            w -= 1
-            continue
-        use[pick[w]] += 1
-        w -= int(sizes[pick[w]])
-    over = use > most
-    if over.any():
-        use = np.minimum(use, most)
-    left = room - int(use @ sizes)
-    for j in np.argsort(-values / sizes):
-        more = min(left // int(sizes[j]), int(most[j] - use[j]))
-        if more > 0:
-            use[j] += more
-            left -= more * int(sizes[j])
+    packets = []
+    for j, (size, n) in enumerate(zip(sizes.tolist(), np.minimum(most, room // sizes).tolist())):
+        k = 1
+        while n > 0:
+            packets.append((j, min(k, n), size * min(k, n), values[j] * min(k, n)))
+            n -= k
+            k *= 2
+    best, taken = np.zeros(room + 1), np.zeros((len(packets), room + 1), bool)
+    for i, (_, _, size, value) in enumerate(packets):
+        with_it = best[:room + 1 - size] + value
+        np.greater(with_it, best[size:], out=taken[i, size:])
+        np.maximum(with_it, best[size:], out=best[size:])
+    use, left = np.zeros(len(sizes), np.int64), room
+    for i in range(len(packets) - 1, -1, -1):
+        if taken[i, left]:
+            j, k, size, _ = packets[i]
+            use[j] += k
+            left -= size
+    return use
+
+
+def priced(sizes: np.ndarray, weights: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """The dearest configuration found that holds the longest uncovered length: how often it holds each length.
+
+    Prices are the sizes, which solve the dual of the size bound, raised by the weights by at most SPREAD of themselves, so that
+    fullness comes first. The knapsack is offered CHOICE lengths: the heaviest weights, and as many spread over all lengths.
+    """
+    live = np.flatnonzero(left)
+    use = np.zeros(len(sizes), np.int64)
+    use[live[-1]] = 1
+    free = room - int(sizes[live[-1]])
+    if len(live) > CHOICE:
+        heavy = live[np.argsort(-weights[live] * (1 + sizes[live] / room), kind="stable")[:CHOICE // 2]]
+        live = np.union1d(heavy, live[np.linspace(0, len(live) - 1, CHOICE // 2).astype(int)])
+    live = live[sizes[live] <= free]
+    if len(live):
+        prices = sizes[live] * (1 + SPREAD * weights[live] * sizes[live] / room)
+        use[live] += best_configuration(prices, sizes[live], (left - use)[live], free)
     return use
 
 
 def solve(histogram: dict[int, int], room: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> list[tuple[int, dict[int, int]]]:
     """(copies, {length: pieces in each}) that hold every piece of the histogram once.
 
-    The covering program asks for few configurations that cover all lengths. Multiplicative weights solve it: each
-    round prices one configuration by a knapsack over the weights, then the weights of the lengths that it covers fall in
-    proportion. Shares of rounds are rounded down to whole copies; what stays over goes to the fullest sequence in
-    which it fits, on counts per length. All of it depends on the histogram alone, at most `room` numbers.
+    The covering program asks for few configurations that cover all lengths. Multiplicative weights solve it: a round prices
+    one configuration by a knapsack, then the weights of the lengths that it covers fall in proportion to the share covered. After
+    `rounds` of them the shares are rounded down to whole copies. Most lengths of a small corpus have a few pieces only, for which
+    shares round to nothing: for these the rounds go on, each buying as many whole copies as the uncovered demand allows, at least
+    one. Each of these uses up a length, or a part of its pieces, so on large counts there are about as many as lengths.
+    All of it depends on the histogram alone, at most `room` numbers.
     """
     sizes = np.array(sorted(x for x, n in histogram.items() if n > 0), np.int64)
     if not len(sizes):
         return []
-    count = np.array([histogram[int(s)] for s in sizes], np.float64)
-    plan: list[tuple[int, dict[int, int]]] = []
-    left = count.astype(np.int64)
+    count = np.array([histogram[int(s)] for s in sizes], np.int64)
     weights, chosen = np.ones(len(sizes)), Counter()
-    for _ in range(rounds):
-        prices = weights / count
-        use = best_configuration(prices / prices.max(), sizes, left, room)
-        chosen[tuple((int(j), int(use[j])) for j in np.flatnonzero(use))] += 1
-        cover = use / count
-        weights *= np.exp(-epsilon * cover / max(cover.max(), 1e-300))
-        weights /= weights.max()
-        weights = np.maximum(weights, 1e-9)
-    bound = max(1.0, float(count @ sizes) / room)
+    plan: list[tuple[int, dict[int, int]]] = []
+    left = count.copy()
+    share = max(1.0, float(count @ sizes) / room) / rounds
+
+    def buy(config: tuple[tuple[int, int], ...], copies: int) -> None:
+        plan.append((copies, {int(sizes[j]): k for j, k in config}))
+        for j, k in config:
+            left[j] -= copies * k
+
+    def pieces(use: np.ndarray) -> tuple[tuple[int, int], ...]:
+        return tuple((int(j), int(use[j])) for j in np.flatnonzero(use))
+
+    open_demand = count.astype(np.float64)
+    for _ in range(rounds if share >= 1 else 0):
+        whole = np.floor(open_demand).astype(np.int64)
+        if not whole.any():
+            break
+        use = priced(sizes, weights, whole, room)
+        part = min(share, float(min(open_demand[j] / k for j, k in pieces(use))))
+        chosen[pieces(use)] += part
+        open_demand -= part * use
+        weights *= np.exp(-epsilon * part * use / count)
     for config, n in chosen.most_common():
-        copies = min(int(bound * n / rounds), min(left[j] // k for j, k in config))
+        copies = min(int(n), min(int(left[j]) // k for j, k in config))
         if copies > 0:
-            plan.append((copies, {int(sizes[j]): k for j, k in config}))
-            for j, k in config:
-                left[j] -= copies * k
-    return plan + fill(sizes, left, room)
-
-
-def fill(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit on counts: a sequence takes the longest piece left, then again the longest that fits; whole runs of
-    equal sequences are taken at once, so the steps follow the lengths, not the pieces."""
-    left, plan = left.copy(), []
+            buy(config, copies)
     while left.any():
-        use, free, most = np.zeros_like(left), room, len(sizes) - 1
-        while True:
-            fits = np.flatnonzero((left[:most + 1] > use[:most + 1]) & (sizes[:most + 1] <= free))
-            if not len(fits):
-                break
-            j = int(fits[-1])
-            k = min(free // int(sizes[j]), int(left[j] - use[j]))
-            use[j] += k
-            free -= k * int(sizes[j])
-            most = j
-        used = np.flatnonzero(use)
-        copies = max(1, int(min(left[j] // use[j] for j in used)))
-        left[used] -= copies * use[used]
-        plan.append((copies, {int(sizes[j]): int(use[j]) for j in used}))
+        use = priced(sizes, weights, left, room)
+        config = pieces(use)
+        copies = min(int(left[j]) // k for j, k in config)
+        weights *= np.exp(-epsilon * copies * use / count)
+        buy(config, copies)
     return plan
 
 
