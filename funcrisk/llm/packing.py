@@ -43,6 +43,7 @@ class Ids:
         self.library.normalizer = normalizers.Sequence([])
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.fixed = special
+        self.whole = tokens.library(path)
         self.words: dict[str, bytes] = {"": b""}
         self.pieces = dict(special)
 
@@ -69,12 +70,14 @@ class Ids:
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces = dict(self.fixed)
         known, pieces = self.words, self.pieces
-        cuts = {w: self.cut(w) for w in words if w not in known}
-        if not cuts:
+        new = dict.fromkeys(w for w in words if w not in known)
+        if not new:
             return b"".join(map(known.__getitem__, words))
+        exotic = set() if text.isascii() else {w for w in new if tokens.unassigned(w)}
+        cuts = {w: self.cut(w) for w in new if w not in exotic} if exotic else {w: self.cut(w) for w in new}
         learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
         # Long pieces, long words and words with a piece not met before serve this text alone.
-        here: dict[str, bytes] = {}
+        here = {w: np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in exotic}
         for w, xs in cuts.items():
             ids = b"".join([learnt[x] if x in learnt else pieces[x] for x in xs])
             (here if len(w) > CACHE_CHARS or any(x in learnt for x in xs) else known)[w] = ids

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,15 +35,30 @@ def normal(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+def unassigned(text: str) -> bool:
+    """Some letter is in no table of Python's, while the library, whose tables are of another year, may know it."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+
+
+@lru_cache(maxsize=2)
+def library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Merger:
     """Counts tokens of words by the merge table of a byte-pair vocabulary with word ends."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path) as f:
             spec = json.load(f)
         model = spec["model"]
         end, vocab = model["end_of_word_suffix"], model["vocab"]
         letters = byte_letters()
+        self.byte = {x: b for b, x in enumerate(letters)}
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + end] for x in letters]
         self.rank: dict[int, tuple[int, int]] = {}
@@ -84,10 +100,16 @@ class Merger:
                 heapq.heappush(heap, (hit[0], h, sym[h], new, hit[1]))
         return left
 
+    def cut(self, text: str) -> list[bytes]:
+        """The pieces of a text without special strings; texts with unassigned letters are cut by the library."""
+        if not unassigned(text):
+            return [x.encode() for x in PIECES.findall(normal(text))]
+        lib = library(self.path)
+        return [bytes(map(self.byte.__getitem__, x)) for x, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
+
     def plain(self, text: str) -> int:
         total = 0
-        for piece in PIECES.findall(normal(text)):
-            raw = piece.encode()
+        for raw in self.cut(text):
             n = self.pieces.get(raw)
             if n is None:
                 n = self.merged(raw)

@@ -297,6 +297,22 @@ def test_packing(either, empty):
     assert packing.pack(empty, VOCABULARY).collect() == []
 
 
+def test_letters_that_python_does_not_know_are_the_librarys():
+    words = [f"a{chr(c)}b{x}" for c in (0x558, 0x58B, 0x1C89, 0xA7CB, 0xA7DC, 0x378, 0x1FFFF) for x in ("", "<|endoftext|>", "\u0301é")]
+    lib, counts, ids = tokens.library(VOCABULARY), tokens.Merger(VOCABULARY), packing.Ids(VOCABULARY)
+    for w in [*words, " and ".join(words)]:
+        want = lib.encode(w, add_special_tokens=False).ids
+        assert counts.count(w) == len(want) and ids.of(w) == np.array(want, "<u4").tobytes()
+
+
+def test_the_program_packs_close_to_the_size_bound():
+    rng, room = random.Random(5), 4096
+    few = Counter(min(room, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(3000))
+    for histogram in (few, {k: 50 * n for k, n in few.items()}):
+        bound = -(-sum(k * n for k, n in histogram.items()) // room)
+        assert sum(n for n, _ in packing.solve(histogram, room)) <= bound * 1.002 + 1
+
+
 def test_packing_plan_covers_any_histogram():
     r = random.Random(1)
     for _ in range(20):
