@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections import Counter
@@ -24,6 +25,8 @@ ROUNDS, EPSILON = 120, 0.3
 CHOICE, SPREAD = 80, 0.0025
 #: Words, and pieces, that a worker remembers, of at most so many characters.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Digests of texts that a task remembers with their pieces, and the most pieces of such a text.
+SEEN_TEXTS, SEEN_PIECES = 50_000, 16
 BUCKETS = 1024
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -95,13 +98,28 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last = ids_of(vocabulary), np.array([end_id], "<u4").tobytes()
+        seen: dict[bytes, list[tuple]] = {}
+
+        def parts(text: str) -> list[tuple]:
+            # Copies of a text are frequent; each is encoded once a task, while the memory of digests holds.
+            digest = hashlib.sha256(text.encode()).digest()
+            found = seen.get(digest)
+            if found is None:
+                raw = ids.of(text) + last
+                found = []
+                for at in range(0, len(raw), 4 * size):
+                    part = raw[at:at + 4 * size]
+                    found.append((at // 4, len(part) // 4, zlib.crc32(part)))
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                if len(found) <= SEEN_PIECES:
+                    seen[digest] = found
+            return found
+
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                raw = ids.of(text.as_py()) + last
-                for k, at in enumerate(range(0, len(raw), 4 * size)):
-                    part = raw[at:at + 4 * size]
-                    out.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part)))
+                out += [(doc_id.as_py(), k, *part) for k, part in enumerate(parts(text.as_py()))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), PIECE.types)], schema=PIECE)
 
