@@ -76,7 +76,7 @@ class Ids:
         new = dict.fromkeys(w for w in words if w not in known)
         if not new:
             return b"".join(map(known.__getitem__, words))
-        exotic = set() if text.isascii() else {w for w in new if tokens.unassigned(w)}
+        exotic = {w for w in new if tokens.unassigned(w)} if tokens.unassigned(text) else set()
         cuts = {w: self.cut(w) for w in new if w not in exotic} if exotic else {w: self.cut(w) for w in new}
         learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
         # Long pieces, long words and words with a piece not met before serve this text alone.

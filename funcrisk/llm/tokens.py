@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from funcrisk.llm.common import texts
 
 # Fixed value: the vocabulary's pattern for the pieces that are merged on their own.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# Below U+0378 every letter is assigned.
+HIGH = re.compile("[\u0378-\U0010ffff]")
 #: Words and pieces that a worker remembers, of at most so many characters.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 
@@ -37,7 +40,7 @@ def normal(text: str) -> str:
 
 def unassigned(text: str) -> bool:
     """Some letter is in no table of Python's, while the library, whose tables are of another year, may know it."""
-    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+    return not text.isascii() and HIGH.search(text) is not None and any(unicodedata.category(c) == "Cn" for c in text)
 
 
 @lru_cache(maxsize=2)
