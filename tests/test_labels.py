@@ -128,6 +128,64 @@ def test_an_image_of_100000_entangled_functions(spark):
     assert got == {i: i if i < lost else i + 1 for i in range(n - 1)}
 
 
+def waiting_chain(n):
+    """Function i waits for function i - 1: each has its own key and the next one's, and rows lie in that order."""
+    functions = [("fw", f"k{i + d}", i) for i in range(n) for d in (0, 1)]
+    rows = [("fw", f"k{i + d}", i) for i in range(n) for d in (0, 1)]
+    return functions, rows
+
+
+def test_a_chain_of_waiting_functions_settles_in_few_rounds(spark, monkeypatch):
+    """Each key is shared with the neighbours, a round a link before; rounds follow the blocks now."""
+    from funcrisk.operators import matching
+
+    counts, cut = [], matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: counts.append(1) or cut(df))
+    # A row too few under each third key sets the neighbours against one another.
+    r = random.Random(5)
+    f, w = waiting_chain(60)
+    w = [x for x in w if r.random() < 0.7]
+    used, want = set(), set()
+    for i in range(60):
+        left = sorted({m for _, k, m in w if k in (f"k{i}", f"k{i + 1}")} - used)
+        if left:
+            used.add(left[0])
+            want.add(("fw", i, left[0]))
+    sides = [spark.createDataFrame(x, "firmware_id string, key string, member bigint") for x in (f, w)]
+    got = matching.lowest_rows(*sides)
+    assert {tuple(x) for x in got.collect()} == want and len(counts) <= 5
+
+
+def test_blocks_and_cut_rows_give_the_walk(spark):
+    """Blocks of three functions, and no spare rows, so that keys run out inside the walk."""
+    from funcrisk.operators import matching
+
+    r = random.Random(8)
+    sides = [[(image, f"k{r.randrange(5)}", i) for image in ("a", "b") for i in range(12) for _ in range(2)] for _ in range(2)]
+    f, w = (spark.createDataFrame(x, "firmware_id string, key string, member bigint") for x in sides)
+    want = set()
+    for image in ("a", "b"):
+        used = set()
+        for i in range(12):
+            keys = {k for g, k, m in sides[0] if (g, m) == (image, i)}
+            left = sorted({m for g, k, m in sides[1] if g == image and k in keys} - used)
+            if left:
+                used.add(left[0])
+                want.add((image, i, left[0]))
+    assert {tuple(x) for x in matching.lowest_rows(f, w, 3, -1).collect()} == want
+
+
+def test_a_walk_stops_where_an_unseen_row_might_come_first():
+    import pandas as pd
+
+    from funcrisk.operators import matching
+
+    f = pd.DataFrame({"firmware_id": "a", "key": ["x", "y", "x", "y"], "member": [1, 2, 3, 3]})
+    w = pd.DataFrame({"row_key": ["x", "y", "y"], "row_member": [1, 4, 9], "cut": [True, False, False]})
+    assert matching.walk(f, w).to_numpy().tolist() == [["a", 1, 1], ["a", 2, 4]]
+    assert matching.walk(f, w.assign(cut=False)).to_numpy().tolist() == [["a", 1, 1], ["a", 2, 4], ["a", 3, 9]]
+
+
 def test_containments(spark):
     r = random.Random(9)
     outer = {"".join(r.choice("abAB-") for _ in range(r.randrange(1, 12))) for _ in range(60)} | {"x" * 3000 + "needle" + "y" * 3000}
