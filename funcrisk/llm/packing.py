@@ -23,8 +23,8 @@ from funcrisk.llm.common import keep, texts
 ROUNDS, EPSILON = 120, 0.3
 #: Lengths that a knapsack is offered, and the greatest part by which a weight raises a price.
 CHOICE, SPREAD = 80, 0.0025
-#: Words, and pieces, that a worker remembers, of at most so many characters.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Words, and pieces, in each of the two ages of a worker's memory, of at most so many characters.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Digests of texts that a task remembers with their pieces, and the most pieces of such a text.
 SEEN_TEXTS, SEEN_PIECES = 50_000, 16
 BUCKETS = 1024
@@ -45,10 +45,20 @@ class Ids:
         # Pieces come in normal form and cut; what is left is to write their bytes as letters.
         self.library.normalizer = normalizers.Sequence([])
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.path = path
+        # What was not met in the younger age is looked for in the older one, which is dropped when the younger is full.
+        self.words, self.old_words = {"": b""}, {}
+        self.pieces, self.old_pieces = dict(special), {}
         self.fixed = special
-        self.whole = tokens.library(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces = dict(special)
+
+    def age(self) -> None:
+        if len(self.words) > CACHE_ENTRIES:
+            self.words, self.old_words = {"": b""}, self.words
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces, self.old_pieces = dict(self.fixed), self.pieces
+
+    def whole(self, word: str) -> bytes:
+        return np.array(tokens.library(self.path).encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, word: str) -> list[str]:
         """The pieces of a word; special strings stand for themselves, as the library takes them from a text."""
@@ -68,19 +78,19 @@ class Ids:
 
     def of(self, text: str) -> bytes:
         words = text.split(" ")
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {"": b""}
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces = dict(self.fixed)
-        known, pieces = self.words, self.pieces
+        self.age()
+        known, pieces, old_words, old_pieces = self.words, self.pieces, self.old_words, self.old_pieces
         new = dict.fromkeys(w for w in words if w not in known)
+        known.update((w, old_words[w]) for w in new if w in old_words)
+        new = [w for w in new if w not in known]
         if not new:
             return b"".join(map(known.__getitem__, words))
         exotic = {w for w in new if tokens.unassigned(w)} if tokens.unassigned(text) else set()
         cuts = {w: self.cut(w) for w in new if w not in exotic} if exotic else {w: self.cut(w) for w in new}
+        pieces.update((x, old_pieces[x]) for x in chain.from_iterable(cuts.values()) if x not in pieces and x in old_pieces)
         learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
         # Long pieces, long words and words with a piece not met before serve this text alone.
-        here = {w: np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in exotic}
+        here = {w: self.whole(w) for w in exotic}
         for w, xs in cuts.items():
             ids = b"".join([learnt[x] if x in learnt else pieces[x] for x in xs])
             (here if len(w) > CACHE_CHARS or any(x in learnt for x in xs) else known)[w] = ids

@@ -19,8 +19,8 @@ from funcrisk.llm.common import keep, parts_for
 
 U64 = np.uint64
 ORDERS, SLOT_BITS, BLOCK_BYTES, SLICE = 5, 22, 8 << 20, 1 << 18
-#: Contexts of the corpus that the mixing weights are fitted on, at most; counts always cover the corpus.
-FIT_SAMPLE = 1 << 16
+#: Passes over all training contexts in which the mixing weights are learnt, and fractions of one that their sums are kept in.
+PASSES, GRAIN = 2, 1 << 16
 RANGES = 64
 #: Starts and ends a text; no UTF-8 text has this byte.
 EDGE = 0xFF
@@ -112,6 +112,10 @@ class Model:
     weights: np.ndarray
     refine: np.ndarray
 
+    @staticmethod
+    def untaught(counts: np.ndarray) -> Model:
+        return Model(counts, np.full((8, ORDERS, CLASSES), 1.0 / ORDERS, np.float64), np.tile(1 / (1 + np.exp(-np.linspace(-16, 16, STEPS))), (8, 1)))
+
     def inputs(self, ctx: list[np.ndarray], node: np.ndarray, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the predictors (orders, n) and their classes of evidence; less[i] is taken off the count of that bit."""
         logit, kind = np.empty((ORDERS, len(node)), np.float32), np.empty((ORDERS, len(node)), np.int64)
@@ -145,28 +149,77 @@ class Model:
 
 
 def fit(counts: np.ndarray, grams: np.ndarray, seen: np.ndarray, rounds: int = 2, batch: int = 512, rate: float = 0.08) -> Model:
-    """The mixer learnt online: batch after batch it predicts each bit, then moves the weights that its gates chose
-    along the error, and the refining table towards what came. Each gram is predicted without its own occurrence."""
-    model = Model(counts, np.full((8, ORDERS, CLASSES), 1.0 / ORDERS, np.float64), np.tile(1 / (1 + np.exp(-np.linspace(-16, 16, STEPS))), (8, 1)))
+    """The mixer learnt from all grams given, in so many rounds."""
+    model = Model.untaught(counts)
+    for _ in range(rounds):
+        learn(model, grams, seen, batch, rate)
+    return model
+
+
+def learn(model: Model, grams: np.ndarray, seen: np.ndarray, batch: int = 512, rate: float = 0.08) -> tuple[np.ndarray, np.ndarray]:
+    """One round online: batch after batch the model predicts each bit, then moves the weights that its gates chose
+    along the error, and the refining table towards what came. Each gram is predicted without its own occurrence. Returns
+    how many occurrences each weight and each step of the table had."""
+    used, read = np.zeros_like(model.weights), np.zeros_like(model.refine)
     order = np.argsort(B.mixed(grams ^ U64(17)))
     grams, seen = grams[order], np.minimum(seen[order], 1000).astype(np.float64)
-    for r in range(rounds):
-        for lo in range(0, len(grams), batch):
-            g, w = grams[lo:lo + batch], seen[lo:lo + batch]
-            w = w / w.sum()
-            ctx = [context(g, o) for o in range(ORDERS)]
-            for k, (node, bit) in enumerate(nodes_of(g)):
-                y = bit.astype(np.float64)
-                logit, kind = model.inputs(ctx, node, y.astype(np.float32))
-                x = model.mixed(k, logit, kind)
-                err = w * (y - 1 / (1 + np.exp(-x)))
-                for o in range(ORDERS):
-                    model.weights[k, o] += rate * np.bincount(kind[o], err * logit[o], CLASSES)
-                _, low, part = model.refined(k, x)
-                for step, share in ((low, 1 - part), (low + 1, part)):
-                    mass = np.bincount(step, w * share, STEPS)
-                    goal = np.bincount(step, w * share * y, STEPS)
-                    model.refine[k] += 0.5 * (goal - mass * model.refine[k])
+    for lo in range(0, len(grams), batch):
+        g, n = grams[lo:lo + batch], seen[lo:lo + batch]
+        w = n / n.sum()
+        ctx = [context(g, o) for o in range(ORDERS)]
+        for k, (node, bit) in enumerate(nodes_of(g)):
+            y = bit.astype(np.float64)
+            logit, kind = model.inputs(ctx, node, y.astype(np.float32))
+            x = model.mixed(k, logit, kind)
+            err = w * (y - 1 / (1 + np.exp(-x)))
+            for o in range(ORDERS):
+                model.weights[k, o] += rate * np.bincount(kind[o], err * logit[o], CLASSES)
+                used[k, o] += np.bincount(kind[o], n, CLASSES)
+            _, low, part = model.refined(k, x)
+            for step, share in ((low, 1 - part), (low + 1, part)):
+                mass = np.bincount(step, w * share, STEPS)
+                goal = np.bincount(step, w * share * y, STEPS)
+                model.refine[k] += 0.5 * (goal - mass * model.refine[k])
+                read[k] += np.bincount(step, n * share, STEPS)
+    return used, read
+
+
+def shares(model: Model, used: np.ndarray, read: np.ndarray) -> np.ndarray:
+    """What a part of the contexts adds to the mean of all parts' models, as whole numbers, so that any order of adding gives the same."""
+    sums = [x.ravel() for x in (model.weights * used, used, model.refine * read, read)]
+    return np.rint(np.concatenate(sums) * GRAIN).astype(np.int64)
+
+
+def averaged(model: Model, sums: np.ndarray) -> Model:
+    """The mean of the parts' models, each weight by the occurrences that it had in a part; what had none stays as it is."""
+    w, r = model.weights.size, model.refine.size
+    parts = [x / GRAIN for x in np.split(np.asarray(sums, np.float64), [w, 2 * w, 2 * w + r])]
+    mean = lambda old, top, n: np.where(n > 0, top / np.maximum(n, 1 / GRAIN), old.ravel()).reshape(old.shape)
+    return Model(model.counts, mean(model.weights, parts[0], parts[1]), mean(model.refine, parts[2], parts[3]))
+
+
+def taught(contexts: DataFrame, counts: np.ndarray, parts: int, passes: int = PASSES) -> Model:
+    """The mixer learnt from all contexts (part, keys, vals): in each pass every part learns from where all left off, and
+    the mean of their models goes on. The driver gets one row per number of a model."""
+    context_, model = contexts.sparkSession.sparkContext, Model.untaught(counts)
+    table = context_.broadcast(counts)
+    dealt = contexts.repartition(parts, "part")
+    for _ in range(passes):
+        weights, refine = model.weights, model.refine
+
+        def learnt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for k, v in zip(b["keys"], b["vals"]):
+                    mine = Model(table.value, weights.copy(), refine.copy())
+                    x = shares(mine, *learn(mine, B.unpack_keys(k), B.numbers(v, np.int64)))
+                    yield pd.DataFrame({"position": np.arange(len(x), dtype=np.int32), "x": x})
+
+        rows = dealt.mapInPandas(learnt, "position int, x long").groupBy("position").agg(F.sum("x").alias("x")).collect()
+        if rows:
+            sums = np.zeros(len(rows), np.int64)
+            sums[[r["position"] for r in rows]] = [r["x"] for r in rows]
+            model = averaged(model, sums)
+    table.unpersist()
     return model
 
 
@@ -220,9 +273,9 @@ def summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, np.bincount(at, vals, len(distinct)).astype(np.int64), at
 
 
-def told(group: tuple, rows: pd.DataFrame, sample: int) -> pd.DataFrame:
-    """Word counts for each block (kind 1); bit counts by slot range (kind 3), a sample of grams (kind 4), and how often
-    each byte ends a word (kind 5)."""
+def told(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Word counts for each block (kind 1); bit counts by slot range (kind 3), all grams with their counts (kind 4), and
+    how often each byte ends a word (kind 5)."""
     kind, part = int(group[0]), int(group[1])
     key, total, at = summed(rows)
     if kind == 1:
@@ -235,13 +288,12 @@ def told(group: tuple, rows: pd.DataFrame, sample: int) -> pd.DataFrame:
     slot, both = bit_counts(key, total)
     span = U64((1 << SLOT_BITS) // RANGES)
     edge = np.searchsorted(slot, np.arange(RANGES + 1, dtype=U64) * span)
-    pick = np.sort(np.argsort(B.mixed(key))[:sample])
     out = [(3, r, -1, b - a, B.pack_keys(slot[a:b]), B.planes(np.ascontiguousarray(both[a:b]).ravel())) for r, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
     last, before = (key & U64(255)).astype(np.int64), (key >> U64(8) & U64(255)).astype(np.int64)
     closes = (SPACES[last] | (last == EDGE)) & ~SPACES[before] & (before != EDGE)
     ends = np.bincount(last[closes], total[closes], 256).astype(np.int64)
-    if len(pick):
-        out.append((4, part, -1, len(pick), B.pack_keys(key[pick]), B.planes(total[pick])))
+    if len(key):
+        out.append((4, part, -1, len(key), B.pack_keys(key), B.planes(total)))
     out = [(*x, 0) for x in out] + [(5, int(b), -1, 0, b"", b"", int(ends[b])) for b in np.flatnonzero(ends)]
     return pd.DataFrame(out, columns=["kind", "part", "block", "n", "keys", "vals", "total"]).assign(seen=0)
 
@@ -325,7 +377,7 @@ def scored(block: pd.DataFrame, side: pd.DataFrame, corpus: Corpus, parts: int)
     return pd.concat(out)
 
 
-def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fit_sample: int = FIT_SAMPLE) -> DataFrame:
+def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Texts whose crc32(doc_id as text) mod 7 is not 2 are learnt from; all are scored. A-Z is lowered. Null text is empty:
@@ -337,30 +389,27 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fit_sample: int
     an adaptive table. Whole words seen in training are a further way to the same bytes, by discounted count. All ways
     add up to one at most, so the score is that of a distribution over texts.
 
-    Word and context counts of all training texts are gathered by Spark as packed facts. The driver gets the slot table, whose size is
-    fixed, and at most max(fit_sample, parts) contexts for the weights. The model stands still while it scores, so a byte's score
+    Word and context counts of all training texts are gathered by Spark as packed facts, and the weights are learnt from all
+    their contexts where these lie (see taught). The driver gets the slot table and the weights, whose sizes are fixed. The model stands still while it scores, so a byte's score
     follows from its five bytes and is worked out once per distinct five in a block.
     """
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     blocks = parts = parts_for(named, block_bytes)
     text = B.dealt(named, blocks)
-    sample = max(1, fit_sample // parts)
     facts = text.groupBy("block").applyInPandas(lambda g, d: gathered(g, d, parts), B.FACTS)
-    answers = keep(facts.groupBy("kind", "part").applyInPandas(lambda g, d: told(g, d, sample), B.FACTS + ", total long, seen long"), "counts")
+    answers = keep(facts.groupBy("kind", "part").applyInPandas(told, B.FACTS + ", total long, seen long"), "counts")
     n_train, n_words = answers.filter("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
     counts = np.zeros((1 << SLOT_BITS, 2), np.uint16)
     span = (1 << SLOT_BITS) // RANGES
     for r in answers.filter("kind = 3").select("part", "keys", "vals").groupBy("part").applyInPandas(slot_range, "part long, vals binary").collect():
         counts[r["part"] * span:(r["part"] + 1) * span] = np.frombuffer(r["vals"], np.uint16).reshape(-1, 2)
-    picked = answers.filter(F.col("kind").eqNullSafe(4) & (F.col("part") < fit_sample)).select("keys", "vals").collect()
-    grams = np.concatenate([np.zeros(0, U64), *[B.unpack_keys(r["keys"]) for r in picked]])
-    seen = np.concatenate([np.zeros(0, np.int64), *[B.numbers(r["vals"], np.int64) for r in picked]])
+    model = taught(answers.filter("kind = 4").select("part", "keys", "vals"), counts, parts)
     closing = np.full(256, 0.5)
     for r in answers.filter("kind = 5").groupBy("part").agg(F.sum("total").alias("n")).collect():
         closing[r["part"]] += r["n"]
     possible = SPACES | (np.arange(256) == EDGE)
     closing = np.log10(np.where(possible, closing, 1e-300) / closing[possible].sum())
-    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(fit(counts, grams, seen), n_train, n_words, closing))
+    corpus = docs.sparkSession.sparkContext.broadcast(Corpus(model, n_train, n_words, closing))
 
     def score(block: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         return scored(block, side, corpus.value, parts)

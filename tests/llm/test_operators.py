@@ -10,11 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
 
-from funcrisk.llm import exact, mixing, packing, pii, quality, scoring, simhash, suffixes, tokens, urls
+from funcrisk.llm import blocks, exact, mixing, packing, pii, quality, scoring, simhash, suffixes, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -231,6 +232,35 @@ def test_bit_predictors_make_a_distribution_and_learn(small):
     assert -model.log10(held).mean() * math.log2(10) < 4.5
 
 
+def test_mixing_weights_are_learnt_from_all_contexts(spark, small):
+    """Every context of every part counts; 65,536 of them at most before. One part alone gives the plain rounds."""
+    texts_ = [x.encode() for _, x in plain_texts(small)[:40]]
+    halves = [scoring.counted(scoring.flat(t).grams) for t in (texts_[:20], texts_[20:])]
+    counts = np.zeros((1 << scoring.SLOT_BITS, 2), np.uint16)
+    for known, seen in halves:
+        slot, both = scoring.bit_counts(known, seen)
+        counts[slot.astype(np.int64)] += both.astype(np.uint16)
+    rows = [(i, blocks.pack_keys(known), blocks.planes(seen)) for i, (known, seen) in enumerate(halves)]
+    table = lambda x: spark.createDataFrame(x, "part long, keys binary, vals binary")
+    one, plain = scoring.taught(table(rows[:1]), counts, 2), scoring.fit(counts, *halves[0])
+    assert np.allclose(one.weights, plain.weights, atol=1e-3) and np.allclose(one.refine, plain.refine, atol=1e-3)
+    mine = [scoring.Model.untaught(counts) for _ in halves]
+    mass = [scoring.learn(m, *h) for m, h in zip(mine, halves)]
+    both = scoring.taught(table(rows), counts, 2, passes=1)
+    used = sum(u for u, _ in mass)
+    want = np.where(used > 0, sum(m.weights * u for m, (u, _) in zip(mine, mass)) / np.maximum(used, 1), 1 / scoring.ORDERS)
+    assert np.allclose(both.weights, want, atol=1e-3)
+    assert np.isclose(used[:, 0].sum(), 8 * sum(np.minimum(seen, 1000).sum() for _, seen in halves))
+
+
+def test_the_facts_hold_every_training_context():
+    known = np.arange(70_000, dtype=np.uint64) * np.uint64(977)
+    seen = np.ones(len(known), np.int64)
+    facts = pd.DataFrame({"keys": [blocks.pack_keys(known)], "vals": [blocks.planes(seen)], "block": [0], "n": [len(known)]})
+    told = scoring.told((2, 0), facts)
+    assert told.loc[told["kind"] == 4, "n"].sum() == len(known)
+
+
 def test_quality(either, empty):
     want = []
     for k, x in plain_texts(either):
@@ -305,6 +335,17 @@ def test_letters_that_python_does_not_know_are_the_librarys():
         assert counts.count(w) == len(want) and ids.of(w) == np.array(want, "<u4").tobytes()
 
 
+def test_a_workers_memory_of_words_ages(monkeypatch):
+    """Two ages of a few entries each: ids stay right, what is met again stays known, and memory stays bounded."""
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 30)
+    lib, ids, r = tokens.library(VOCABULARY), packing.Ids(VOCABULARY), random.Random(4)
+    for i in range(60):
+        text = " ".join(["the", "often", "met,", *(f"w{r.randrange(400)}{r.choice(['', 'x.', '-y'])}" for _ in range(10))])
+        assert ids.of(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert i < 2 or {"the", "often", "met,"} <= ids.words.keys() | ids.old_words.keys()
+        assert max(map(len, (ids.words, ids.old_words, ids.pieces, ids.old_pieces))) <= 30 + 60 + len(ids.fixed)
+
+
 def test_the_program_packs_close_to_the_size_bound():
     rng, room = random.Random(5), 4096
     few = Counter(min(room, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(3000))
