@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from funcrisk import constants as C
-from funcrisk.functions.text import SEP, empty_strings, line_starts, split_lines, words_found
+from funcrisk.functions.text import SEP, bound, empty_strings, line_starts, split_lines, words_found
 
 # Call targets without their angle brackets; plain 0x addresses are no names.
 _CALL_TARGET = r"(?iU)\bcall\d*+\s++[<>]*+(?!(?-i:0x))([^\s,]*?)[<>]*+(?![^\s,])"
@@ -39,7 +39,7 @@ def name_hints(name: Column) -> Column:
 
 
 def with_name_hints(calls: Column, name: Column) -> Column:
-    return F.concat(calls, F.array_except(name_hints(name), calls))
+    return bound(calls, lambda c: F.concat(c, F.array_except(name_hints(name), c)))
 
 
 def all_calls(asm: Column, name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,6 +48,11 @@ def empty_strings() -> Column:
     return F.array().cast(NO_STRINGS)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def joined(items: Column) -> Column:
     """All items in one text, each between two separators; lets one regex look at every item."""
     return F.concat(F.lit(SEP), F.array_join(items, SEP), F.lit(SEP))
@@ -59,7 +64,8 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
 
 def words_found(text: Column, words: Sequence[str]) -> Column:
     """The words that occur in the text, in the order given."""
-    hits = F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
+    # Bound to a variable, the text is worked out once for all words, also inside a function of arrays.
+    hits = bound(text, lambda t: F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in words]))
     return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 

@@ -66,3 +66,12 @@ def test_danger_and_tokens(spark):
     assert one(spark, K.asm_danger_label(F.col("a")), a="x STRNCPY") == 1
     assert one(spark, K.asm_danger_label(F.col("a")), a="nothing") == 0
     assert one(spark, signal_tokens(F.col("a")), a="Ab, cde;f|GHI\tjklm") == ["cde", "ghi", "jklm"]
+
+
+def test_a_text_is_searched_once_for_its_calls(spark):
+    """Written twice in an expression inside a function of arrays, the calls were looked for twice and the text was lowered a word."""
+    df = spark.createDataFrame([("jal strcpy", "parse_uri")], "asm string, name string")
+    calls = df.select(K.all_calls(F.col("asm"), F.col("name")).alias("c"))
+    assert calls.first()["c"] == ["strcpy", "uri", "parse"]
+    plan = calls._jdf.queryExecution().analyzed().toString()
+    assert plan.count("bjal") == 1 and plan.count("lower(coalesce(asm") == 1
