@@ -245,7 +245,7 @@ def signal_hints_limited(spark, sf):
 @query("J6", f"SELECT {ID}, array_to_string(ids, ',') AS hints FROM ({matched('signal', 'whole')})")
 def signal_hints_large_catalog(spark, sf):
     """The way taken when a catalog is too large to ride along."""
-    rows = U.with_haystack(V.v_functions(spark, sf), None)
+    rows = U.with_haystack(V.v_functions(spark, sf), None).select(*C.KEY, "haystack")
     return plain(U.rule_matches(rows, U.signal_rules(default_catalog(spark)), "hints", method="index").select(*C.KEY, "hints"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from funcrisk import constants as C
 from funcrisk.functions.text import empty_strings, haystack, signal_tokens
+from funcrisk.scale import keep_table
 
 # A catalog of ids and tokens of up to so many bytes is tested inside each row.
 INLINE_BYTES = 1 << 16
@@ -85,7 +86,8 @@ def rule_matches(
 
     method "inline" carries a catalog of up to INLINE_BYTES as one value and tests it inside the row. "index" is for larger
     ones: each token lies under one three-character piece, a text meets the pieces that it has and gets one list of
-    candidate tokens, and only these are looked for. Without a method the catalog's size decides. All give the same rows,
+    candidate tokens, and only these are looked for; the functions with their texts are then a table in the shared folder, as
+    three steps read them, so columns that nobody needs are best left out before. Without a method the catalog's size decides. All give the same rows,
     also where keys repeat.
     """
     if method not in (None, "inline", "index"):
@@ -109,7 +111,7 @@ def rule_matches(
             .drop("_rules")
         )
     # Rows that repeat a key are told apart by their text; equal ones share their hits.
-    functions = functions.withColumn("_text", F.xxhash64("haystack"))
+    functions = keep_table(functions.withColumn("_text", F.xxhash64("haystack")), "haystacks")
     keys = [*keys, "_text"]
     tokens = rules.select("cwe_id", F.explode("tokens").alias("token")).distinct()
     pieces = F.array_distinct(F.regexp_extract_all("haystack", F.lit("(?s)(?=(...))"), F.lit(1)))

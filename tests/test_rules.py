@@ -37,3 +37,13 @@ def test_each_token_lies_under_one_of_its_pieces(spark):
     shared = {p: sum(p in x for x in pieces.values()) for x in pieces.values() for p in x}
     for p, ts in index.items():
         assert all(p in pieces[t] and shared[p] == min(shared[q] for q in pieces[t]) for t in ts)
+
+
+def test_the_index_works_out_the_texts_once(spark, monkeypatch):
+    """Three steps read the texts, which each of them put together before."""
+    kept, keep = [], U.keep_table
+    monkeypatch.setattr(U, "keep_table", lambda df, name: kept.append(name) or keep(df, name))
+    df = spark.createDataFrame([("a", "1", "uses strcpy"), ("a", "1", "none")], "firmware_id string, func_id string, haystack string")
+    rules = spark.createDataFrame([("CWE-1", ["strcpy"])], "cwe_id string, tokens array<string>")
+    got = U.rule_matches(df, rules, "ids", "index")
+    assert sorted((r["haystack"], r["ids"]) for r in got.collect()) == [("none", []), ("uses strcpy", ["CWE-1"])] and kept == ["haystacks"]
