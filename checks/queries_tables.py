@@ -17,7 +17,7 @@ from funcrisk.operators import rules as U
 from funcrisk.operators import sourcemap as S
 from funcrisk.operators import symbols as Y
 from funcrisk.plans import jobs as J
-from funcrisk.scale import cut_lineage, shared_folder
+from funcrisk.scale import cut_lineage, keep_table, shared_folder
 from funcrisk.sources import catalog, datasets, files, label_sheet
 
 
@@ -328,7 +328,8 @@ def _training_rows(spark, sf):
 
 
 def _train(spark, sf, kind):
-    rows = _training_rows(spark, sf)
+    # Training and each scoring read the rows; their features are worked out once.
+    rows = keep_table(_training_rows(spark, sf), "training")
     config = Config(model_kind=kind)
     return rows, J.train_on(rows.drop("label"), rows.select(*C.KEY, "label"), config)
 
