@@ -27,10 +27,15 @@ def strip(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """The lines of a text; an end of line at the end of the text opens no further line."""
-    parts = F.split(text, LINE_BREAK)
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """The lines of a text; an end of line at the end of the text opens no further line.
+
+    Only texts with a rare line break are cut by the pattern. The parts are bound to a variable, so that a text is cut once.
+    """
+    def without_empty_end(parts: Column) -> Column:
+        last_is_empty = F.element_at(parts, -1) == ""
+        return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return bound(F.when(any_word(text, RARE_BREAKS), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n")), without_empty_end)
 
 
 def line_starts(text: Column) -> Column:
@@ -71,14 +76,18 @@ def words_found(text: Column, words: Sequence[str]) -> Column:
 
 def items_with(joined_items: Column, words: Sequence[str]) -> Column:
     """How many items hold any of the words."""
-    item = "[^" + SEP + "]*"
-    return F.regexp_count(joined_items, F.lit(item + "(?:" + "|".join(words) + ")" + item))
+    # A match runs from an item's separator to its first word, so an item without one is walked once and not from each character.
+    return _count_if_any(joined_items, words, SEP + "[^" + SEP + "]*?(?:" + "|".join(words) + ")")
 
 
 def items_equal(joined_items: Column, words: Sequence[str]) -> Column:
     """How many items equal one of the words."""
-    pattern = SEP + "(?:" + "|".join(words) + ")(?=" + SEP + ")"
-    return F.regexp_count(joined_items, F.lit(pattern))
+    return _count_if_any(joined_items, words, SEP + "(?:" + "|".join(words) + ")(?=" + SEP + ")")
+
+
+def _count_if_any(text: Column, words: Sequence[str], pattern: str) -> Column:
+    """How often the pattern, which needs one of the words, is found; texts without any are not given to it."""
+    return F.when(text.isNull() | any_word(text, words), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
 
 
 def signal_tokens(text: Column) -> Column:

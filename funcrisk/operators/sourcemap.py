@@ -208,17 +208,19 @@ def _lone_key() -> Column:
 
 
 def line_blocks(source_files: DataFrame) -> DataFrame:
-    """(path, block, lines): files cut into blocks of BLOCK_LINES lines, numbered from 0."""
+    """(path, size, block, lines): files cut into blocks of BLOCK_LINES lines, numbered from 0; one row with a null block for a file without lines."""
     count = F.ceil(F.size("lines") / BLOCK_LINES).cast("int")
     cut = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice("lines", (i - 1) * BLOCK_LINES + 1, F.lit(BLOCK_LINES)))
-    return source_files.filter(F.size("lines") > 0).select("path", F.posexplode(cut).alias("block", "lines"))
+    return source_files.select("path", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("size"), "lines").select(
+        "path", "size", F.posexplode_outer(F.when(F.col("size") > 0, cut)).alias("block", "lines")
+    )
 
 
-def line_windows(asked: DataFrame, source_files: DataFrame) -> DataFrame:
+def line_windows(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     """asked (path, lo, hi; 1-based, inside the file) with lines: each different window meets its blocks once."""
     first, last = (F.floor((F.col(c) - 1) / BLOCK_LINES).cast("int") for c in ("lo", "hi"))
     parts = asked.distinct().filter("lo <= hi").withColumn("block", F.explode(F.sequence(first, last)))
-    met = join_per_key(parts, line_blocks(source_files), ["path", "block"])
+    met = join_per_key(parts, blocks.filter(F.col("block").isNotNull()).select("path", "block", "lines"), ["path", "block"])
     before = F.col("block") * BLOCK_LINES
     begin, end = F.greatest(F.col("lo"), before + 1), F.least(F.col("hi"), before + BLOCK_LINES)
     piece = F.struct("block", F.slice("lines", begin - before, end - begin + 1).alias("lines"))
@@ -226,23 +228,25 @@ def line_windows(asked: DataFrame, source_files: DataFrame) -> DataFrame:
     return found.select("path", "lo", "hi", F.flatten("pieces.lines").alias("lines"))
 
 
-def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) -> DataFrame:
+def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8, blocks: DataFrame | None = None) -> DataFrame:
     """The functions with source_snippet, null where no source file is recorded.
 
     source_files holds one row per file with all its lines. Files are cut into blocks of lines before anything meets
     them: a function first meets its file's length, then its own window of lines, never a whole file. Functions without
-    a file get a key of their own, so that they stay spread.
+    a file get a key of their own, so that they stay spread. blocks are the files' line_blocks, where they are a kept table: lengths
+    and lines both come from them, and functions are read twice as well.
     """
+    blocks = line_blocks(source_files) if blocks is None else blocks
     start = F.greatest(F.lit(1), F.coalesce(F.col("line_start"), F.lit(1))).cast("int")
     end = F.greatest(start, F.coalesce(F.col("line_end"), F.lit(1))).cast("int")
     lo = F.greatest(F.lit(1), start - context)
     hi = F.least(end + context, F.col("_size"))
+    number = lambda i: F.col("_lo") + i
+    inside = lambda i: number(i).between(F.col("_start"), F.col("_end"))
     rows = F.transform(
         F.coalesce(F.col("_lines"), F.array().cast("array<string>")),
         lambda text, i: F.struct(
-            (lo + i).alias("number"), text.alias("text"),
-            (lo + i).between(start, end).alias("in_function"),
-            (lo + i).between(start, end).alias("highlight"),
+            number(i).alias("number"), text.alias("text"), inside(i).alias("in_function"), inside(i).alias("highlight"),
         ),
     )
     none = F.array().cast("array<struct<number:int,text:string,in_function:boolean,highlight:boolean>>")
@@ -252,19 +256,20 @@ def snippets(functions: DataFrame, source_files: DataFrame, context: int = 8) ->
         F.when(found, F.col("resolved_source_path")).alias("resolved_path"),
         F.col("line_start").alias("line_start"),
         F.col("line_end").alias("line_end"),
-        start.alias("highlight_start"),
-        end.alias("highlight_end"),
+        F.col("_start").alias("highlight_start"),
+        F.col("_end").alias("highlight_end"),
         F.when(found, rows).otherwise(none).alias("lines"),
         F.when(~found, F.lit("source_file_not_found")).alias("error"),
     )
-    sizes = source_files.filter(F.col("lines").isNotNull()).select(F.col("path").alias("_at"), F.size("lines").alias("_size"))
+    whole = F.col("size").isNotNull() & (F.coalesce("block", F.lit(0)) == 0)
+    sizes = blocks.filter(whole).select(F.col("path").alias("_at"), F.col("size").alias("_size"))
     at = F.coalesce("resolved_source_path", _lone_key())
-    placed = functions.withColumn("_at", at).join(sizes, "_at", "left").withColumns({"_lo": lo, "_hi": hi})
+    placed = functions.withColumn("_at", at).join(sizes, "_at", "left").withColumns({"_lo": lo, "_hi": hi, "_start": start, "_end": end})
     asked = placed.filter(found).select(F.col("_at").alias("path"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    windows = line_windows(asked, source_files).select(*[F.col(c).alias(f"_{n}") for c, n in (("path", "at"), ("lo", "lo"), ("hi", "hi"), ("lines", "lines"))])
+    windows = line_windows(asked, blocks).select(*[F.col(c).alias(f"_{n}") for c, n in (("path", "at"), ("lo", "lo"), ("hi", "hi"), ("lines", "lines"))])
     # A function without a file has no window either; its own key stands in for the null.
     return (
         placed.withColumn("_hi", F.coalesce("_hi", F.lit(0))).join(windows, ["_at", "_lo", "_hi"], "left")
         .withColumn("source_snippet", F.when(F.col("source_file").isNotNull(), snippet))
-        .drop("_at", "_lo", "_hi", "_size", "_lines")
+        .drop("_at", "_lo", "_hi", "_start", "_end", "_size", "_lines")
     )

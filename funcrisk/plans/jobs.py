@@ -141,13 +141,20 @@ def mapped_functions(tables: Tables, config: Config, work: Workspace) -> DataFra
         stems = tables.manifest.select("firmware_id", F.col("stem").alias("firmware_stem")).dropDuplicates(["firmware_id"])
         numbered = join_per_key(numbered, stems, ["firmware_id"], "left")
     numbered = work.keep(numbered, "numbered")
-    return work.keep(with_disassembly(map_sources(numbered, tables, config), tables.asm), "functions")
+    return work.keep(with_disassembly(map_sources(numbered, tables, config, work), tables.asm), "functions")
 
 
-def map_sources(functions: DataFrame, tables: Tables, config: Config = Config()) -> DataFrame:
-    spans = S.source_span(functions, tables.line_table)
-    resolved = S.resolve_source(spans, tables.roots, tables.source_files)
-    return S.snippets(resolved, tables.source_files, config.snippet_context)
+def map_sources(functions: DataFrame, tables: Tables, config: Config = Config(), work: Workspace | None = None) -> DataFrame:
+    """The functions with spans, paths and snippets.
+
+    Resolving reads the spans twice, and snippets read the paths and the files' lines twice; in a workspace each is worked
+    out once, so that addresses are looked up once and texts are cut into lines once.
+    """
+    keep = work.keep if work is not None else lambda df, name: df
+    spans = keep(S.source_span(functions, tables.line_table), "spans")
+    resolved = keep(S.resolve_source(spans, tables.roots, tables.source_files), "resolved")
+    blocks = keep(S.line_blocks(tables.source_files), "files")
+    return S.snippets(resolved, tables.source_files, config.snippet_context, blocks)
 
 
 def label_functions(functions: DataFrame, tables: Tables, config: Config = Config()) -> DataFrame:

@@ -1,7 +1,10 @@
 import math
+import time
 
 from pyspark.sql import functions as F
 
+from funcrisk import constants as C
+from funcrisk.functions.text import items_equal, items_with, joined
 from funcrisk.operators import matrix as M
 from funcrisk.operators.scoring import boost_and_flag, rule_score
 from funcrisk.functions.risk import risk_tier
@@ -83,3 +86,14 @@ def test_tier_edges(spark):
     df = spark.createDataFrame([(0.75,), (0.74,), (0.5,), (0.49,), (0.35,), (0.34,)], "s double")
     got = [r[0] for r in df.select(risk_tier(F.col("s"), 0.5)).collect()]
     assert got == ["above_threshold" if 0.75 < 0.5 + 0.2 else "high", "high", "above_threshold", "medium", "medium", "low"]
+
+
+def test_items_are_walked_once(spark):
+    long = "x" * 200_000
+    row = spark.createDataFrame([([long, "malloc", "my_free", "memcpy"],), ([long],), ([],), (None,)], "c array<string>")
+    begun = time.monotonic()
+    got = [r["n"] for r in row.select(items_with(joined(F.col("c")), C.ALLOCATION_CALLS).alias("n")).collect()]
+    assert got == [2, 0, 0, None]
+    assert time.monotonic() - begun < 20
+    equal = [r["n"] for r in row.select(items_equal(joined(F.col("c")), ["malloc", "cpy"]).alias("n")).collect()]
+    assert equal == [1, 0, 0, None]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import views as V
+from funcrisk import constants as C
 from funcrisk.config import Config
 from funcrisk.operators import labels as L
 from funcrisk.operators import model as M
@@ -135,3 +136,17 @@ def test_training_on_wide_frames_splits_whole_images(spark):
     training = J.train_on(frame.drop("label"), frame.select("firmware_id", "func_id", "label"), Config(model_kind="rule"))
     assert {r["split"]: r["firmwares"] for r in training.summary.collect()} == {"train": 4, "validation": 1}
     assert sum(r["samples"] for r in training.metrics.collect()) == 30
+
+
+@needs_tables
+def test_sources_are_looked_up_and_cut_into_lines_once(spark):
+    tables = V.job_tables(spark, SF)
+    with Workspace(spark, "test") as work:
+        numbered = work.keep(J.numbered_functions(tables), "numbered")
+        mapped = J.map_sources(numbered, tables, Config(), work)
+        plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+        assert "text" not in plan.split() and "event_id" not in plan and "documents" not in "".join(mapped.inputFiles())
+        columns = [*C.KEY, "source_file", "resolved_source_path", "source_snippet"]
+        kept = {(r[0], r[1]): r for r in mapped.select(columns).collect()}
+        plain = {(r[0], r[1]): r for r in J.map_sources(numbered, tables).select(columns).collect()}
+        assert kept == plain and any(r["source_snippet"] is not None for r in kept.values())
