@@ -31,10 +31,11 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; rows that repeat id and text are one document. A null id is
     the smallest, a null text is empty; other columns, of any name, come along."""
-    stay = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = whole_rows(docs)
-    found = rows.join(stay, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(common.ascii_lower(F.col("text")), 256) == F.col("_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]).select("_row.*")
+    number = F.coalesce(F.concat(F.lit("i:"), F.col("doc_id").cast("string")), F.lit("null")).alias("_id")
+    stay = exact.exact_dedup(docs).filter("kept").select(number, F.col("text_sha256").alias("_sha"))
+    # A text moves once, inside its row: digests stand for it in the join, after which equal rows already lie together.
+    rows = whole_rows(docs).select("_row", number, F.sha2(common.ascii_lower(F.col("text")), 256).alias("_sha"), F.sha2("text", 256).alias("_exact"))
+    return rows.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha", "_exact"]).select("_row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def among(rows: DataFrame, some: DataFrame, number: str, words: int = 1 << 18) -> DataFrame:
+    """The rows whose number, a 64-bit hash, is in `some`, which has each once. Every task gets a table of at most `words`
+    words of 64 bits, where each of `some` sets one, so that of the other rows only those move whose bit is set by chance."""
+    place = F.pmod(F.col(number), F.lit(64 * words))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = some.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    met = rows.join(F.broadcast(bits), word == F.col("_word")).filter(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+    # A semi-join would be pushed below the one with the bits.
+    return met.join(some, number)
+
+
 def parts_for(docs: DataFrame, bytes_each: int) -> int:
     """Parts of about so many bytes of text each, one at least: one pass over the lengths."""
     total = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -113,9 +113,10 @@ def mix_rows(docs: DataFrame, target: Target = Target(repeats=1.25), budget: int
         .filter((F.col("before") >= F.col("extra")) | (F.col("before") + F.col("n") > F.col("extra")))
         .groupBy("_source").agg(F.min(F.struct(F.col("_bucket").alias("border"), "before")).alias("b"))
     )
-    table = weighed.join(behind, "_source", "left").select(
+    # As a kept table it is known to be small, so rows need not move to meet it.
+    table = keep(weighed.join(behind, "_source", "left").select(
         "_source", F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), F.col("extra").alias("_extra"),
-        F.coalesce("b.border", F.lit(BUCKETS)).alias("_border"), F.coalesce("b.before", F.lit(0)).alias("_before"))
+        F.coalesce("b.border", F.lit(BUCKETS)).alias("_border"), F.coalesce("b.before", F.lit(0)).alias("_before")), "sources")
     met = rows.join(table, "_source")
     order = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     ordered = (F.col("_bucket") == F.col("_border")) & (F.col("_before") < F.col("_extra"))

@@ -5,7 +5,8 @@ have one order for all texts, common ones last. A pair of that similarity shares
 n - ceil(0.8 n) + 1 of each text's n, so these alone are join keys, and each carries its text's fingerprint. What meets is
 pruned by lengths, by places and by the ring of the fingerprints' segments, then by their full distance; only then sets
 move. Texts of that similarity differ in some 10 of 64 bits, 12 in sets of four and five, with a deviation of 3; other
-texts in 32 with one of 4: DISTANCE lies four deviations above the former.
+texts in 32 with one of 4: DISTANCE lies four deviations above the former. Signs, the parities of a set's names, bound from
+above what two sets share, so that most pairs below 0.8 are dropped where they meet; that bound misses none.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funcrisk.llm import blocks as B
-from funcrisk.llm.common import keep, texts
+from funcrisk.llm.common import among, keep, texts
 from funcrisk.llm.simhash import components, rings_hold
 
 WIDTH, CHUNK, SLICE = 5, 1 << 18, 1 << 23
@@ -27,6 +28,8 @@ WIDTH, CHUNK, SLICE = 5, 1 << 18, 1 << 23
 COMMON, MOST_COMMON = 64, 50_000
 #: Fingerprints of near copies differ in at most so many bits; for so many segments on the ring.
 DISTANCE, SEGMENTS = 24, 4
+#: Bits of a sign.
+SIGN = 512
 #: Texts of one key and one block, of which two at a time are compared.
 GROUP = 4096
 #: Texts of a block that all of it is tried with before its pairs are tried one by one.
@@ -60,6 +63,21 @@ def fingerprint(names: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(names), bitorder="little").view(np.int64)[0])
 
 
+def sign(names: np.ndarray) -> bytes:
+    """Bit k is 1 if an odd number of the names end in k. Each name that only one of two sets has turns one bit."""
+    return np.packbits(np.bincount((names & U64(SIGN - 1)).astype(np.int64), minlength=SIGN).astype(np.uint8) & 1).tobytes()
+
+
+def signs_hold(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m names with signs x and y can be similar: as these differ in at most the names that only one
+    set has, of which there are at most (n + m) / 9 then."""
+    return 9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n.astype(np.int64) + m
+
+
+def sign_rows(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), U64).reshape(-1, SIGN // 64)
+
+
 def least_shared(n: np.ndarray) -> np.ndarray:
     """The shingles of n that a near copy has at least."""
     return (4 * n + 4) // 5
@@ -75,19 +93,26 @@ def row_number() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def common_shingles(docs: DataFrame, common: int, most: int) -> np.ndarray:
-    """Sorted names of shingles in more than `common` texts: counted in slices, where single ones are left out.
-
-    It is for speed alone, as any order serves.
-    """
+def counted(docs: DataFrame) -> DataFrame:
+    """(key, n, sign) of two kinds: how often a slice of the texts has a shingle, single ones left out (sign null), and
+    of each node (as key) how many shingles it has, with their sign."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in B.slices(batch["text"].str.len().to_numpy(), SLICE):
-                names, n = np.unique(np.concatenate([shingles(x) for x in batch["text"].iloc[a:b]]), return_counts=True)
-                yield pd.DataFrame({"key": names[n > 1].view(np.int64), "n": n[n > 1]})
+                sets = [shingles(x) for x in batch["text"].iloc[a:b]]
+                yield pd.DataFrame({"key": batch["node"].iloc[a:b].to_numpy(), "n": [len(x) for x in sets], "sign": [sign(x) for x in sets]})
+                names, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pd.DataFrame({"key": names[n > 1].view(np.int64), "n": n[n > 1], "sign": None})
 
-    counts = docs.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") > common).orderBy(F.desc("n"), "key").limit(most).select("key").collect()
+    return keep(docs.select("node", "text").mapInPandas(count, "key long, n long, sign binary"), "near-counted")
+
+
+def common_shingles(counts: DataFrame, common: int, most: int) -> np.ndarray:
+    """Sorted names of shingles in more than `common` texts, by the counts of slices.
+
+    It is for speed alone, as any order serves.
+    """
+    rows = counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > common).orderBy(F.desc("n"), "key").limit(most).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(U64))
 
 
@@ -114,8 +139,8 @@ def prefix_keys(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def may_be(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Whether texts (fp, n, rest) that first meet at this key can be similar: by what follows it in both, by the ring
-    of their fingerprints and by the bits in which these differ.
+    """Whether texts (fp, n, rest, sign if known) that first meet at this key can be similar: by what follows it in both, by
+    the ring of their fingerprints, by the bits in which these differ, and by their signs.
 
     A pair is asked at each key that it shares; at the first one the bound on what follows holds.
     """
@@ -125,6 +150,8 @@ def may_be(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     near = rings_hold(diff, SEGMENTS, DISTANCE)
     near[near] = np.bitwise_count(diff[near]) <= DISTANCE
     good[good] = near
+    if len(x) > 3:
+        good[good] = signs_hold(x[3][good], y[3][good], n[good], m[good])
     return good
 
 
@@ -165,13 +192,14 @@ def meet_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [x[keep_] for x in cols]
 
 
-def cells(open_: DataFrame, group: int) -> DataFrame:
-    """Rows of keys whose texts have several labels, cut into blocks of about `group`: each goes to the cells, two blocks
-    of a key, that it belongs to, so that every pair shares one."""
+def cells(open_: DataFrame, signs: DataFrame, group: int) -> DataFrame:
+    """Rows of keys whose texts have several labels, with their signs, cut into blocks of about `group`: each goes to the
+    cells, two blocks of a key, that it belongs to, so that every pair shares one."""
     several = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / group).cast("int").alias("blocks"))
     rows = open_.join(several.filter("lo < hi").select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("a", "key"), F.col("blocks")).cast("int"))
+    rows = rows.join(signs.select(F.col("node").alias("a"), "sign"), "a")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("own"), "block", "a", "label", "fp", "n", "rest")
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") == F.col("other")).alias("own"), "block", "a", "label", "fp", "n", "rest", "sign")
 
 
 def whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,6 +224,7 @@ def meet_some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     so that keys of the same texts ask about the same pairs."""
     for rows in whole_cells(batches):
         cell, node, label, *facts = (rows[c].to_numpy() for c in ("cell", "a", "label", "fp", "n", "rest"))
+        facts.append(sign_rows(rows["sign"]))
         order = np.lexsort((B.mixed(node.view(U64)), cell))
         cell, node, label, *facts = (x[order] for x in (cell, node, label, *facts))
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -213,6 +242,7 @@ def meet_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in whole_cells(batches):
         rows = rows.sort_values(["cell", "label"], kind="stable")
         cell, own, block, node, label, *facts = (rows[c].to_numpy() for c in ("cell", "own", "block", "a", "label", "fp", "n", "rest"))
+        facts.append(sign_rows(rows["sign"]))
         now = np.arange(len(cell))
         ends = np.r_[np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
         runs = np.r_[np.flatnonzero((cell[1:] != cell[:-1]) | (label[1:] != label[:-1])) + 1, len(cell)]
@@ -233,6 +263,17 @@ def meet_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lo = hi
 
 
+def likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The different pairs (a, b) whose signs leave it open that they are similar."""
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[signs_hold(sign_rows(batch["x"]), sign_rows(batch["y"]), batch["n"].to_numpy(), batch["m"].to_numpy()), ["a", "b"]]
+
+    x = signs.select(F.col("node").alias("a"), F.col("n"), F.col("sign").alias("x"))
+    y = signs.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y"))
+    return pairs.distinct().join(x, "a").join(y, "b").mapInPandas(hold, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar; only texts in pairs move, as names of shingles."""
     pairs = keep(pairs.distinct(), f"{name}-pairs")
@@ -242,7 +283,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "names": [shingles(x).tobytes() for x in batch["text"]]})
 
-    sets = keep(docs.select("node", "text").join(some, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(named, "node long, names binary"), f"{name}-sets")
+    sets = keep(among(docs.select("node", "text"), some, "node").dropDuplicates(["node"]).mapInPandas(named, "node long, names binary"), f"{name}-sets")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,14 +305,16 @@ def near_copies(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON,
     PROBES; only pairs that this leaves in different components are tried one by one, so a group of near copies costs few.
     """
     docs = texts(docs).withColumn("node", row_number())
-    keys = prefix_keys(docs.select("node", "text"), common_shingles(docs, common, most))
+    facts = counted(docs)
+    signs = facts.filter("sign is not null").select(F.col("key").alias("node"), "n", "sign").dropDuplicates(["node"])
+    keys = prefix_keys(docs.select("node", "text"), common_shingles(facts.filter("sign is null").select("key", "n"), common, most))
     sorted_ = keys.repartition("key").sortWithinPartitions("key", "n", "node")
     met = keep(sorted_.mapInPandas(meet_first, "a long, b long, key long, fp long, n int, rest int"), "near-met")
-    links = confirmed(met.filter("b is not null").select("a", "b"), docs, "near-first")
+    links = confirmed(likely(met.filter("b is not null").select("a", "b"), signs), docs, "near-first")
     label, heavy = components(links), met.filter("b is null").drop("b")
     for meet, name in ((meet_some, "near-some"), (meet_others, "near-more")):
         open_ = heavy.join(label.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        dealt = cells(open_, group)
+        dealt = cells(open_, signs, group)
         dealt = dealt.filter("own") if meet is meet_some else dealt
         more = confirmed(dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(meet, "a long, b long"), docs, name)
         if not more.isEmpty():

@@ -4,9 +4,10 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from funcrisk.llm import near
+from funcrisk.llm import common, near
 
 
 def shingles(text):
@@ -79,3 +80,35 @@ def test_no_rows_and_texts_without_words(spark):
     df = spark.createDataFrame([(1, None), (2, " "), (3, "a b"), (4, "A  b"), (None, "c d")], "doc_id long, text string")
     assert sorted(x["doc_id"] or 0 for x in corpus_pipeline.near_stage(spark, df, "").collect()) == [0, 1, 3]
     assert corpus_pipeline.near_stage(spark, df.filter("doc_id < 0"), "").collect() == []
+
+
+def test_few_pairs_of_a_group_with_many_unlike_texts_are_confirmed(spark, monkeypatch):
+    """Changed copies of one text are 0.85 like it but 0.73 like one another, and the text itself is not there."""
+    r, rows = random.Random(8), []
+    base = [f"u{r.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(changed(r, base, 0.86))) for i in range(160)]
+    df, tables = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {}
+    monkeypatch.setattr(near, "keep", lambda out, name: tables.setdefault(name, common.keep(out, name)))
+    got = {x["doc_id"] for x in corpus_pipeline.near_stage(spark, df, "").collect()}
+    assert got == {min(k for k, _ in group) for group in kept(rows).values()}
+    assert sum(x.count() for name, x in tables.items() if name.endswith("-pairs")) < 160 * 159 // 2 // 4
+
+
+def test_signs_drop_no_similar_pair():
+    r = random.Random(3)
+    for _ in range(300):
+        words = [f"u{r.randrange(3000)}" for _ in range(r.randrange(1, 1200))]
+        x, y = (near.shingles(" ".join(w)) for w in (words, changed(r, words, 0.8) if len(words) > 60 else words))
+        n, m = np.array([len(x)]), np.array([len(y)])
+        if near.similar(np.array([len(np.intersect1d(x, y))]), n, m)[0]:
+            a, b = (near.sign_rows([near.sign(s)]) for s in (x, y))
+            assert near.signs_hold(a, b, n, m)[0]
+
+
+def test_among_gives_the_rows_of_the_named_ones(spark):
+    """Also where many numbers share a bit."""
+    rows = spark.range(400).selectExpr("id", "xxhash64(id) as node")
+    some = rows.filter("id % 7 = 0").select("node")
+    for words in (1, 1 << 18):
+        assert sorted(x["id"] for x in common.among(rows, some, "node", words).collect()) == list(range(0, 400, 7))
+    assert common.among(rows, some.limit(0), "node").collect() == []

@@ -126,3 +126,22 @@ def test_columns_of_any_name_pass_all_stages(spark, small):
         assert docs.columns == [*small.columns, *names]
         rows = docs.collect()
         assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+
+
+def test_exact_dedup_moves_texts_once(spark, small):
+    """Rows meet and fold by digests, not by their texts."""
+    plan = corpus_pipeline.exact_stage(spark, small, "")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\([^)]*(text|doc_id)#", plan)
+
+
+def test_mixing_does_not_move_rows_to_meet_the_sources(spark):
+    """Sources are a small table even where their buckets are not."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('s', id % 3) as source").repartition(4)
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "12k")
+    try:
+        out = corpus_pipeline.mixing_stage(spark, docs, "")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.select("doc_id").distinct().count() == 6000
+    finally:
+        spark.conf.set(key, old)
