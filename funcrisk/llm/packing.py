@@ -28,12 +28,13 @@ CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Digests of texts that a task remembers with their pieces, and the most pieces of such a text.
 SEEN_TEXTS, SEEN_PIECES = 50_000, 16
 BUCKETS = 1024
+PIECES_AND_SPACES = regex.compile(f"{tokens.PIECES.pattern}| ")
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class Ids:
-    """Token ids of texts as little-endian bytes. Words end at spaces; a new word falls into pieces, and the library's
-    merge model encodes each new piece once, on one thread, as tasks share the cores already."""
+    """Token ids of texts as little-endian bytes. Words end at spaces; a text's new words fall into pieces at once, and the
+    library's merge model encodes each new piece once, on one thread, as tasks share the cores already."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,11 +46,12 @@ class Ids:
         # Pieces come in normal form and cut; what is left is to write their bytes as letters.
         self.library.normalizer = normalizers.Sequence([])
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        end = self.library.model.end_of_word_suffix
+        self.last = np.array([(self.library.id_to_token(i) or "").endswith(end) for i in range(self.library.get_vocab_size())])
         self.path = path
         # What was not met in the younger age is looked for in the older one, which is dropped when the younger is full.
         self.words, self.old_words = {"": b""}, {}
-        self.pieces, self.old_pieces = dict(special), {}
-        self.fixed = special
+        self.fixed, self.pieces, self.old_pieces = special, dict(special), {}
 
     def age(self) -> None:
         if len(self.words) > CACHE_ENTRIES:
@@ -60,42 +62,58 @@ class Ids:
     def whole(self, word: str) -> bytes:
         return np.array(tokens.library(self.path).encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cut(self, word: str) -> list[str]:
-        """The pieces of a word; special strings stand for themselves, as the library takes them from a text."""
-        if "<|" not in word:
-            return tokens.PIECES.findall(tokens.normal(word))
-        parts = self.special.split(word)
-        return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else tokens.PIECES.findall(tokens.normal(part)))]
+    def cuts(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word in normal form, in one go: no piece reaches over a space."""
+        xs = PIECES_AND_SPACES.findall(" ".join(words))
+        ends = [i for i, x in enumerate(xs) if x == " "]
+        return [xs[i:j] for i, j in zip([0, *[i + 1 for i in ends]], [*ends, len(xs)])]
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct new pieces: one call, whose word numbers tell the pieces apart."""
+        """Ids of distinct new pieces: one call; tokens that end a piece tell the pieces apart."""
         if not new:
             return {}
-        e = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw, first = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1))
-        ends = (4 * first).tolist()
-        return {x: raw[i:k] for x, i, k in zip(new, ends, ends[1:])}
+        ids = np.array(self.library.encode(new, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        return {x: raw[i:k] for x, i, k in zip(new, [0, *ends[:-1]], ends, strict=True)}
 
     def of(self, text: str) -> bytes:
-        words = text.split(" ")
+        if tokens.unassigned(text):
+            # Neither the normal form nor a piece reaches over a space.
+            return b"".join([self.whole(w) if tokens.unassigned(w) else self.assigned(w) for w in text.split(" ")])
+        return self.assigned(text)
+
+    def assigned(self, text: str) -> bytes:
+        """Ids of a text whose letters are all assigned; special strings stand for themselves, as the library takes them from a text."""
         self.age()
-        known, pieces, old_words, old_pieces = self.words, self.pieces, self.old_words, self.old_pieces
-        new = dict.fromkeys(w for w in words if w not in known)
-        known.update((w, old_words[w]) for w in new if w in old_words)
-        new = [w for w in new if w not in known]
+        if "<|" not in text:
+            return self.plain(text)
+        return b"".join([self.fixed[part] if i % 2 else self.plain(part) for i, part in enumerate(self.special.split(text))])
+
+    def plain(self, text: str) -> bytes:
+        words = tokens.normal(text).replace("\n", " ").split(" ")
+        known, old_words, pieces, old_pieces = self.words, self.old_words, self.pieces, self.old_pieces
+        new = set(words).difference(known)
         if not new:
             return b"".join(map(known.__getitem__, words))
-        exotic = {w for w in new if tokens.unassigned(w)} if tokens.unassigned(text) else set()
-        cuts = {w: self.cut(w) for w in new if w not in exotic} if exotic else {w: self.cut(w) for w in new}
-        pieces.update((x, old_pieces[x]) for x in chain.from_iterable(cuts.values()) if x not in pieces and x in old_pieces)
-        learnt = self.learn([x for x in dict.fromkeys(chain.from_iterable(cuts.values())) if x not in pieces])
+        known.update([(w, old_words[w]) for w in new if w in old_words])
+        new = [w for w in new if w not in old_words]
+        cuts = self.cuts(new)
+        unmet = set(chain.from_iterable(cuts)).difference(pieces)
+        pieces.update([(x, old_pieces[x]) for x in unmet if x in old_pieces])
+        learnt = self.learn([x for x in unmet if x not in old_pieces])
+        pieces.update(learnt)
+        get = pieces.__getitem__
+        known.update(zip(new, [get(xs[0]) if len(xs) == 1 else b"".join(map(get, xs)) for xs in cuts]))
+        ids = b"".join(map(known.__getitem__, words))
         # Long pieces, long words and words with a piece not met before serve this text alone.
-        here = {w: self.whole(w) for w in exotic}
-        for w, xs in cuts.items():
-            ids = b"".join([learnt[x] if x in learnt else pieces[x] for x in xs])
-            (here if len(w) > CACHE_CHARS or any(x in learnt for x in xs) else known)[w] = ids
-        pieces.update((x, ids) for x, ids in learnt.items() if len(x) <= CACHE_CHARS)
-        return b"".join([here[w] if w in here else known[w] for w in words])
+        fresh = learnt.keys()
+        for w, xs in zip(new, cuts):
+            if len(w) > CACHE_CHARS or not fresh.isdisjoint(xs):
+                del known[w]
+        for x in learnt:
+            if len(x) > CACHE_CHARS:
+                del pieces[x]
+        return ids
 
 
 @lru_cache(maxsize=2)

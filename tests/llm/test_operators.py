@@ -346,6 +346,19 @@ def test_a_workers_memory_of_words_ages(monkeypatch):
         assert max(map(len, (ids.words, ids.old_words, ids.pieces, ids.old_pieces))) <= 30 + 60 + len(ids.fixed)
 
 
+def test_a_text_is_cut_once_in_normal_form(monkeypatch):
+    """Words are remembered in normal form and end at line feeds, too; special strings and odd white space stay the library's."""
+    lib, ids = tokens.library(VOCABULARY), packing.Ids(VOCABULARY)
+    odd = ["Met met MET\nmet", "\x1cMet\x1c met\u2028met\u00a0MET\x0b", "ΣΑΣ Σ met's", "a<|endoftext|>Met <|endoftext|><|x", "e \u0301\u0323met", "", " \n ", "word " * 3 + "x" * 60]
+    for text in [*odd, " ".join(odd), *odd]:
+        assert ids.of(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert "met" in ids.words and not {"Met", "MET\nmet", "MET"} & ids.words.keys()
+    asked, plain = [], packing.Ids(VOCABULARY)
+    monkeypatch.setattr(plain, "learn", lambda new, learn=plain.learn: asked.append(len(new)) or learn(new))
+    plain.of("Met met MET\nmet, met.")
+    assert asked == [3]
+
+
 def test_the_program_packs_close_to_the_size_bound():
     rng, room = random.Random(5), 4096
     few = Counter(min(room, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(3000))
