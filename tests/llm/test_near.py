@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 
 from funcrisk.llm import common, near
@@ -94,6 +95,16 @@ def test_few_pairs_of_a_group_with_many_unlike_texts_are_confirmed(spark, monkey
     assert sum(x.count() for name, x in tables.items() if name.endswith("-pairs")) < 160 * 159 // 2 // 4
 
 
+def test_a_cell_of_unlike_changed_copies_gives_few_pairs():
+    """All have one key and another label; most are less than 0.75 like one another."""
+    r = random.Random(8)
+    base = [f"u{r.randrange(3000)}" for _ in range(150)]
+    sets = [near.shingles(" ".join(changed(r, base, 0.8))) for _ in range(60)]
+    rows = pd.DataFrame({"cell": 1, "own": True, "block": 0, "a": range(60), "label": range(60), "fp": [near.fingerprint(x) for x in sets],
+                         "n": [len(x) for x in sets], "rest": [len(x) - 1 for x in sets], "sign": [near.sign(x) for x in sets]})
+    assert sum(map(len, near.meet_others(iter([rows])))) < 60 * 59 // 2 // 3
+
+
 def test_signs_drop_no_similar_pair():
     r = random.Random(3)
     for _ in range(300):
